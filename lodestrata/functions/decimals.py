@@ -12,7 +12,7 @@ NUMBER = r"^([-+]?)([0-9]*)\.?([0-9]*)(?:[eE]([-+]?[0-9]{1,4}))?$"
 
 def plain_number(c: Column) -> Column:
     """The number in a text with grouping commas, a Unicode minus or parentheses, else null."""
-    t = F.translate(F.trim(c), "−,  ", "-")
+    t = F.translate(F.trim(c), "\u2212, \u00a0\u202f", "-")
     t = F.regexp_replace(t, r"^\((.*)\)$", "-$1")
     return F.when(t.rlike(NUMBER) & t.rlike("[0-9]"), t)
 

@@ -110,13 +110,13 @@ def read_unit(label: str | None) -> Unit | None:
 
 DATE_TAIL = re.compile(r"\s+(?:as of|as at|at|on|per|zum|au)\s+\w+\.?\s+\d{1,2},?\s+\d{4}\s*\Z|\s+(?:as of|as at|on)\s+\d{4}-\d\d-\d\d\s*\Z", re.I)
 HEDGE = re.compile(r"^(?:approximately|approx\.?|about|around|roughly|nearly|almost|over|under|more than|less than|up to|at least|some|circa|ca\.|c\.|~|≈|>|<|約|rund|etwa|environ)\s*", re.I)
-QUANTITY = re.compile(r"^(?P<a>[^\d]*?)(?P<n>\d[\d.,'   ]*\d|\d)(?P<b>[^\d]*)$")
+QUANTITY = re.compile("^(?P<a>[^\\d]*?)(?P<n>\\d[\\d.,' \u00a0\u2009\u202f]*\\d|\\d)(?P<b>[^\\d]*)$")
 EXACT = Context(prec=120)
 
 
 def read_number(text: str, comma_is_point: bool) -> Decimal | None:
     """A positive number with grouping marks; ``comma_is_point`` tells German writing."""
-    t = re.sub(r"['   ]", "", text)
+    t = re.sub("[' \u00a0\u2009\u202f]", "", text)
     if comma_is_point:
         t = t.replace(".", "").replace(",", ".")
     elif "," in t and "." not in t and not re.fullmatch(r"\d{1,3}(?:,\d{2,3})*,\d{3}", t):
