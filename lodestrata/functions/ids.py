@@ -26,6 +26,16 @@ def uuid_text(key: Column) -> Column:
     return F.when(key.rlike(HEX32), F.concat_ws("-", *cut)).otherwise(key)
 
 
+def packed(key: Column) -> Column:
+    """A key made by :func:`uuid_key` in 16 bytes; other keys behind 17 zero bytes. Order is kept among UUIDs."""
+    return F.when(key.rlike(HEX32), F.unhex(key)).otherwise(F.concat(F.unhex(F.lit("00" * 17)), F.encode(key, "UTF-8")))
+
+
+def unpacked(b: Column) -> Column:
+    """The key :func:`packed` was made of."""
+    return F.when(F.octet_length(b) == 16, F.lower(F.hex(b))).otherwise(F.decode(F.substring(b, 18, 1 << 30), "UTF-8"))
+
+
 def accession_key(c: Column) -> Column:
     """An accession compares by its digits; null where it has none."""
     digits = F.regexp_replace(c, "[^0-9]", "")

@@ -8,88 +8,98 @@ from pyspark.sql import functions as F
 from lodestrata.plans.tables import cut, remove
 
 
+#: Rows up to which the nodes that still look for their root may be broadcast to all others.
+BROADCAST_ROWS = 50_000
+
+
 def links(rows: DataFrame, id_col: Column, parent_col: Column, label: Column | None = None) -> DataFrame:
-    """(id, parent[, label]) with one row per id; a parent that is no id, or null, is null.
+    """(id, parent[, label]) with one row per id, for :func:`hierarchy`.
 
     Repeated rows count once; of several parents given for one id the smallest counts.
     """
     cols = [id_col.alias("id"), parent_col.alias("parent"), *([label.alias("label")] if label is not None else [])]
-    one = rows.select(*cols).where(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("parent"), *([F.min("label").alias("label")] if label is not None else []))
-    one = cut(one)
-    known = one.select(F.col("id").alias("parent"), F.lit(True).alias("__known"))
-    linked = one.where(F.col("parent").isNotNull()).select("id", "parent").join(known, "parent", "left_semi")
-    return one.drop("parent").join(linked, "id", "left")
+    return rows.select(*cols).where(F.col("id").isNotNull()).groupBy("id").agg(F.min("parent").alias("parent"), *([F.min("label").alias("label")] if label is not None else []))
 
 
-def subtree_sizes(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Sizes of all subtrees, upward; and the nodes that can't be processed, on or below loops.
+def subtree_sizes(linked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(id, below): how many nodes lie below, upward; and (id) of the nodes on or below loops.
 
-    Each round doubles the distance: ``n`` counts the nodes less than 2^k below (itself
-    included), ``up`` is the ancestor 2^k above. A node gets the counts of those exactly 2^k
-    below, combined before the shuffle. Of the nodes in trees at least one reaches its root
-    in every round; once the number of the others stands still, they are unprocessed for
-    good. A tree of depth d takes log2(d) rounds. Returns (id, parent, n) of both kinds.
+    ``linked`` has (id, up) of all nodes with a parent. In round k those with an ancestor
+    2^k above take part: ``n`` counts what lies less than 2^k below (itself included), and
+    is added to that ancestor, combined before the shuffle. So only deeper nodes go on, and
+    a tree of depth d takes log2(d) rounds. Of the nodes in trees at least one drops out in
+    every round; once their number stands still, the others are unprocessed for good.
+    Nodes without any below have no row.
     """
-    state = cut(nodes.select("id", "parent", F.col("parent").alias("up"), F.lit(1).cast("bigint").alias("n")))
-    before = None
-    while True:
-        active = state.where(F.col("up").isNotNull())
-        left = active.count()
-        if left == 0 or left == before:
+    active = linked.select("id", "up", F.lit(1).cast("bigint").alias("n"))
+    left, sums, first = active.count(), [], True
+    while left:
+        more = cut(active.groupBy(F.col("up").alias("id")).agg(F.sum("n").alias("more")))
+        sums.append(more)
+        above = active.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        onward = active.join(above, "up").select("id", F.col("next").alias("up"), "n")
+        onward = onward.join(more, "id", "left").select("id", "up", (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        active, before = cut(onward, drop=None if first else active), left
+        left, first = active.count(), False
+        if left == before:
             break
-        before = left
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"))
-        jumps = active.select("id", "up").join(above, "up").select("id", "next")
-        sums = active.groupBy(F.col("up").alias("id")).agg(F.sum("n").alias("more"))
-        state = cut(
-            state.join(jumps, "id", "left").join(sums, "id", "left").select("id", "parent", F.col("next").alias("up"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")),
-            drop=state,
-        )
-    return state.where(F.col("up").isNull()).select("id", "parent", "n"), state.where(F.col("up").isNotNull()).select("id", "parent") if left else None
+    below = None
+    for x in sums:
+        below = x if below is None else below.unionByName(x)
+    below = linked.select("id", F.lit(0).cast("bigint").alias("below")).limit(0) if below is None else cut(below.groupBy("id").agg(F.sum("more").alias("below")))
+    for x in sums:
+        remove(x)
+    return below, active.select("id") if left else None
 
 
-def sibling_offsets(sized: DataFrame) -> DataFrame:
-    """(id, parent, n, off): where a node's range starts within its parent's.
+def sibling_offsets(linked: DataFrame, below: DataFrame) -> DataFrame:
+    """(id, up, n, off): size of each subtree and where its range starts within its parent's.
 
     Siblings are laid out in the order of their ids. Prefix sums run first over blocks of
-    siblings (three hex digits of a hash-like id, so at most 4,096 a parent for UUIDs), then
-    within blocks; a parent with very many children is not gathered in one task.
+    siblings (the first twelve bits of the id, so at most 4,096 a parent), then within
+    blocks; a parent with very many children is not gathered in one task.
     """
-    block = F.left("id", F.lit(3))
-    kids = sized.where(F.col("parent").isNotNull()).withColumn("block", block)
-    blocks = kids.groupBy("parent", "block").agg(F.sum("n").alias("total"))
-    w = Window.partitionBy("parent").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("parent", "block", F.coalesce(F.sum("total").over(w), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("parent", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    kids = kids.withColumn("off", F.coalesce(F.sum("n").over(inside), F.lit(0)) + 1).join(blocks, ["parent", "block"])
-    tops = sized.where(F.col("parent").isNull()).select("id", "parent", "n", F.lit(0).cast("bigint").alias("off"))
-    return kids.select("id", "parent", "n", (F.col("off") + F.col("ahead")).alias("off")).unionByName(tops)
+    kids = linked.join(below, "id", "left").select("id", "up", (F.coalesce("below", F.lit(0)) + 1).alias("n"), F.left(F.hex(F.substring("id", 1, 2)), F.lit(3)).alias("block"))
+    inside = Window.partitionBy("up", "block").orderBy("id")
+    kids = kids.withColumns({"ahead": F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "last": F.lead("id").over(inside).isNull()})
+    kids = cut(kids)
+    blocks = kids.where("last").select("up", "block", (F.col("ahead") + F.col("n")).alias("total"))
+    w = Window.partitionBy("up").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("up", "block", F.sum("total").over(w).alias("earlier")).where("earlier is not null")
+    return kids.join(blocks, ["up", "block"], "left").select("id", "up", "n", (F.col("ahead") + F.coalesce("earlier", F.lit(0)) + 1).alias("off"))
 
 
-def nested_sets(sized: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(id, parent, root, depth, lo, hi[, path]): preorder ranges, downward.
+def nested_sets(nodes: DataFrame, linked: DataFrame, below: DataFrame, labels: bool) -> DataFrame:
+    """(id, root, depth, lo, hi[, path]) of all nodes in trees: preorder ranges, downward.
 
     ``lo`` numbers the nodes of a tree in preorder from 0, ``hi`` is the end of the node's
-    range: all below it, and only they, have lo in (lo, hi). Offsets, depths and (with
-    ``labels``: id, label) paths add up along the ancestors by doubling.
+    range: all below it, and only they, have lo in (lo, hi). Offsets (and labels) add up
+    along the ancestors by doubling, among the nodes that still have an ancestor 2^k above
+    which has one itself; the others then take up the values of that ancestor, already known.
     """
-    laid = sibling_offsets(sized)
-    cols = ["root", "depth", "lo"]
-    first = laid.select("id", "parent", "n", F.col("parent").alias("up"), F.coalesce("parent", "id").alias("root"), F.col("parent").isNotNull().cast("int").alias("depth"), F.col("off").alias("lo"))
-    if labels is not None:
-        first = first.join(labels.select("id", F.array("label").alias("path")), "id", "left")
-        cols.append("path")
-    state = cut(first)
-    while not state.where(F.col("up").isNotNull()).isEmpty():
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("__up"), *[F.col(c).alias(f"__{c}") for c in cols])
-        ahead = state.where(F.col("up").isNotNull()).join(above, "up").select(
-            "id", F.lit(True).alias("moved"), F.col("__up").alias("_up"), F.col("__root").alias("_root"), (F.col("depth") + F.col("__depth")).alias("_depth"), (F.col("lo") + F.col("__lo")).alias("_lo"),
-            *([F.concat("__path", "path").alias("_path")] if labels is not None else []),
-        )
-        same = state.where(F.col("up").isNull())
-        moved = ahead.join(state.select("id", "parent", "n"), "id")
-        state = cut(same.unionByName(moved.select("id", "parent", "n", F.col("_up").alias("up"), *[F.col(f"_{c}").alias(c) for c in cols])), drop=state)
-    return state.select("id", "parent", "root", "depth", "lo", (F.col("lo") + F.col("n")).alias("hi"), *(["path"] if labels is not None else []))
+    path = ["path"] if labels else []
+    tops = nodes.join(linked.select("id"), "id", "left_anti").join(below, "id", "left")
+    tops = tops.select("id", F.col("id").alias("root"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("lo"), (F.coalesce("below", F.lit(0)) + 1).alias("hi"), *([F.array("label").alias("path")] if labels else []))
+    known = cut(tops)
+    active = sibling_offsets(linked, below)
+    if labels:
+        active = active.join(nodes.select("id", F.array("label").alias("path")), "id")
+    active = cut(active)
+    left, step = active.count(), 1
+    while left:
+        above = active.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("off").alias("__off"), *[F.col(p).alias(f"__{p}") for p in path])
+        doubled = cut(active.join(above, "up", "left").select("id", "n", F.col("__up").isNotNull().alias("on"), F.coalesce("__up", "up").alias("up"), (F.col("off") + F.coalesce("__off", F.lit(0))).alias("off"), *([F.when(F.col("__path").isNotNull(), F.concat("__path", "path")).otherwise(F.col("path")).alias("path")] if labels else [])), drop=active)
+        settled, active = doubled.where("not on").drop("on"), doubled.where("on").drop("on")
+        active._cut_path = doubled._cut_path
+        before, left = left, active.count()
+        found = known.select(F.col("id").alias("up"), "root", F.col("depth").alias("__depth"), F.col("lo").alias("__lo"), *[F.col(p).alias(f"__{p}") for p in path])
+        side = F.broadcast(settled) if before - left <= BROADCAST_ROWS else settled
+        lo = F.col("off") + F.col("__lo")
+        known = known.unionByName(cut(side.join(found, "up").select("id", "root", (F.col("__depth") + step).alias("depth"), lo.alias("lo"), (lo + F.col("n")).alias("hi"), *([F.concat("__path", "path").alias("path")] if labels else []))))
+        if left == before:
+            break
+        step *= 2
+    return known
 
 
 def loop_roots(unprocessed: DataFrame) -> DataFrame:
@@ -116,19 +126,20 @@ def loop_roots(unprocessed: DataFrame) -> DataFrame:
 
 
 def hierarchy(nodes: DataFrame, with_paths: bool = False) -> DataFrame:
-    """One row per node: (id, parent, root, depth, lo, hi, n_descendants, looped[, path]).
+    """One row per node: (id, root, depth, lo, hi, n_descendants, looped[, path]).
 
-    ``nodes`` comes from :func:`links`. Nodes on or below a loop have ``looped`` true, the
-    smallest id on the loop as root, depth and n_descendants -1, and no range or path. The
-    descendants of a node are those of the same root with lo in (lo, hi).
+    ``nodes`` has (id, parent[, label]), one row per id, as :func:`links` makes it. A node
+    without a parent, or whose parent is no id, is a root. Nodes on or below a loop have
+    ``looped`` true, the smallest id on the loop as root, depth and n_descendants -1, and no
+    range or path. The descendants of a node are those of the same root with lo in (lo, hi).
     """
     nodes = cut(nodes)
-    trees, unprocessed = subtree_sizes(nodes)
-    ranged = nested_sets(trees, nodes.select("id", "label") if with_paths else None)
-    out = ranged.withColumns({"n_descendants": F.col("hi") - F.col("lo") - 1, "looped": F.lit(False)})
+    linked = cut(nodes.where(F.col("parent").isNotNull()).select("id", F.col("parent").alias("up")).join(nodes.select(F.col("id").alias("up")), "up", "left_semi"))
+    below, unprocessed = subtree_sizes(linked)
+    out = nested_sets(nodes, linked, below, with_paths).withColumns({"n_descendants": F.col("hi") - F.col("lo") - 1, "looped": F.lit(False)})
     if unprocessed is not None:
-        lost = unprocessed.join(loop_roots(unprocessed), "id")
-        lost = lost.select("id", "parent", "root", F.lit(-1).alias("depth"), F.lit(-1).cast("bigint").alias("n_descendants"), F.lit(True).alias("looped"))
+        lost = loop_roots(linked.join(unprocessed, "id", "left_semi").withColumnRenamed("up", "parent"))
+        lost = lost.select("id", "root", F.lit(-1).alias("depth"), F.lit(-1).cast("bigint").alias("n_descendants"), F.lit(True).alias("looped"))
         out = out.unionByName(lost, allowMissingColumns=True)
     return out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.functions.ids import accession_key, uuid_key, uuid_text
+from lodestrata.functions.ids import accession_key, packed, unpacked, uuid_key, uuid_text
 from lodestrata.operators import hierarchy as H
 from lodestrata.operators.asof import asof_attributes, iso_instant
 from lodestrata.operators.history import version_history
@@ -42,21 +42,25 @@ def p1_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof_attributes(reviewed(spark, sf_dir), versions, "accession", "as_of", "known_from", "known_to", ["rank_from", "rank_id"], P1_ATTRIBUTES).withColumn("as_of", F.date_format("as_of", STAMP)).distinct()
 
 
-def section_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def section_id(c: str) -> Column:
+    return uuid_text(unpacked(F.col(c)))
+
+
+def section_links(spark: SparkSession, sf_dir: str, headings: bool) -> DataFrame:
     s = table(spark, sf_dir, "sections")
-    return H.links(s, uuid_key(F.col("id")), uuid_key(F.col("parent_id")), F.col("heading"))
+    return H.links(s, packed(uuid_key(F.col("id"))), packed(uuid_key(F.col("parent_id"))), F.col("heading") if headings else None)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = H.hierarchy(section_links(spark, sf_dir).drop("label"))
-    return tree.select(uuid_text(F.col("id")).alias("section_id"), uuid_text(F.col("root")).alias("root_id"), F.col("depth").cast("int").alias("depth"), F.col("n_descendants").cast("int").alias("n_descendants"))
+    tree = H.hierarchy(section_links(spark, sf_dir, headings=False))
+    return tree.select(section_id("id").alias("section_id"), section_id("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.col("n_descendants").cast("int").alias("n_descendants"))
 
 
 def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full heading path and preorder range of each section in a tree."""
-    tree = H.hierarchy(section_links(spark, sf_dir), with_paths=True).where(~F.col("looped"))
+    tree = H.hierarchy(section_links(spark, sf_dir, headings=True), with_paths=True).where(~F.col("looped"))
     path = F.concat_ws(" > ", F.transform("path", lambda h: F.coalesce(h, F.lit(""))))
-    return tree.select(uuid_text(F.col("id")).alias("section_id"), uuid_text(F.col("root")).alias("root_id"), F.col("lo").cast("bigint").alias("range_from"), F.col("hi").cast("bigint").alias("range_to"), path.alias("heading_path"))
+    return tree.select(section_id("id").alias("section_id"), section_id("root").alias("root_id"), F.col("lo").cast("bigint").alias("range_from"), F.col("hi").cast("bigint").alias("range_to"), path.alias("heading_path"))
 
 
 def fact_parts() -> list[Column]:
