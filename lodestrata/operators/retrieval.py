@@ -52,7 +52,7 @@ def exact_knn(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str,
     for b in range(blocks):
         block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("query_id", "query")).alias("__q"))
         pairs = vectors.select(F.col(id_col).alias("item_id"), F.col(vector).alias("__v")).crossJoin(block)  # one row of bounded size
-        scored = pairs.select("item_id", "__v", F.explode("__q").alias("q")).select(F.col("q.query_id").alias("query_id"), "item_id", F.round(cosine_distance(F.col("__v"), F.col("q.query")), 6).alias("distance"))
+        scored = pairs.select("item_id", "__v", F.explode("__q").alias("q")).select(F.col("q.query_id").alias("query_id"), "item_id", (F.round(cosine_distance(F.col("__v"), F.col("q.query")), 6) + F.lit(0.0)).alias("distance"))
         out = scored if out is None else out.unionByName(scored)
     w = Window.partitionBy("query_id").orderBy("distance", "item_id")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

@@ -103,15 +103,14 @@ def conversions(declared: DataFrame, estimates: DataFrame, least_links: int = LE
 def in_common_units(rows: DataFrame, conversion: DataFrame, unit: str = "unit", value: str = "value", scale: str = "scale") -> DataFrame:
     """``rows`` with ``common_unit`` and ``common_value`` (exact plain decimal text).
 
-    Rows whose unit doesn't convert, or whose value is no number, have nulls there; a null
-    scale is 0. ``conversion`` has one row per label and is small beside the rows; Spark
+    Rows whose unit doesn't convert have nulls there, those whose value is no number a null
+    value; a null scale is 0. ``conversion`` has one row per label and is small beside the rows; Spark
     broadcasts it only below its own size threshold.
     """
     known = conversion.select(F.col("label").alias("__label"), "common_unit", F.col("power").alias("__power"), F.col("times").alias("__times"), F.col("over").alias("__over"))
     joined = rows.join(known, rows[unit] == known["__label"], "left")
     number = shifted(F.col(value), F.coalesce(F.col(scale), F.lit(0)) + F.col("__power"), F.col("__times"), F.col("__over"))
-    out = joined.withColumn("common_value", number)
-    return out.withColumn("common_unit", F.when(F.col("common_value").isNotNull(), F.col("common_unit"))).drop("__label", "__power", "__times", "__over")
+    return joined.withColumn("common_value", number).drop("__label", "__power", "__times", "__over")
 
 
 def payload_quantities(payloads: DataFrame) -> DataFrame:

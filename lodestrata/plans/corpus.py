@@ -162,11 +162,11 @@ def section_ranges(spark: SparkSession, d: str) -> DataFrame:
     return S.flat_sections(s, s.groupBy("document_version_id").agg(F.max("end_char").alias("n_chars")))
 
 
-@query(f"""SELECT check_name, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT (start_char >= 0) THEN 'start_not_negative' END, CASE WHEN NOT (end_char > start_char) THEN 'end_after_start' END,
+@query(f"""SELECT check_name, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN NOT (start_char >= 0) THEN 'start_not_negative' END, CASE WHEN NOT (end_char > start_char) THEN 'end_after_start' END, CASE WHEN NOT (end_char - start_char <= 400) THEN 'short_enough' END,
   CASE WHEN NOT regexp_full_match(text_hash, 'sha256:[0-9a-f]{{64}}') THEN 'hash_form' END], lambda x: x IS NOT NULL)) AS check_name FROM (SELECT DISTINCT id, start_char, end_char, text_hash FROM source_spans)) GROUP BY 1""")
 def check_violations(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "source_spans").select("id", "start_char", "end_char", "text_hash").distinct()
-    found = Q.violations(s, "id", {"start_not_negative": F.col("start_char") >= 0, "end_after_start": F.col("end_char") > F.col("start_char"), "hash_form": F.col("text_hash").rlike("^sha256:[0-9a-f]{64}$")})
+    found = Q.violations(s, "id", {"start_not_negative": F.col("start_char") >= 0, "end_after_start": F.col("end_char") > F.col("start_char"), "short_enough": F.col("end_char") - F.col("start_char") <= 400, "hash_form": F.col("text_hash").rlike("^sha256:[0-9a-f]{64}$")})
     return found.groupBy(F.col("check").alias("check_name")).agg(F.count("*").alias("n"))
 
 
@@ -176,14 +176,14 @@ def canonical_not_unique(spark: SparkSession, d: str) -> DataFrame:
     return Q.not_unique(f, ["fact_key"])
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P')")
 def unanchored_lines(spark: SparkSession, d: str) -> DataFrame:
-    return Q.orphans(table(spark, d, "lineitem"), ["l_orderkey"], table(spark, d, "orders"), ["o_orderkey"]).select("l_orderkey", "l_linenumber")
+    return Q.orphans(table(spark, d, "lineitem"), ["l_orderkey"], table(spark, d, "orders").where("o_orderstatus <> 'P'"), ["o_orderkey"]).select("l_orderkey", "l_linenumber")
 
 
-@query(f"""WITH {SECTIONS_SQL}, {SPANS_SQL} SELECT p.id FROM p WHERE section_id IS NOT NULL AND v IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.id = p.section_id AND s.v = p.v)""")
+@query(f"""WITH {SECTIONS_SQL}, {SPANS_SQL} SELECT p.id FROM p WHERE section_id IS NOT NULL AND v IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE s.id = p.section_id AND s.v = p.v AND s.start_char > 0)""")
 def composite_orphans(spark: SparkSession, d: str) -> DataFrame:
-    return Q.orphans(spans(spark, d), ["section_id", "document_version_id"], sections(spark, d), ["id", "document_version_id"]).select("id")
+    return Q.orphans(spans(spark, d), ["section_id", "document_version_id"], sections(spark, d).where("start_char > 0"), ["id", "document_version_id"]).select("id")
 
 
 @query("SELECT id, (kind = 'fact' AND financial_fact_id IS NOT NULL AND table_row_index IS NULL) OR (kind = 'table_row' AND table_row_index IS NOT NULL AND financial_fact_id IS NULL) AS anchored FROM (SELECT DISTINCT id, kind, financial_fact_id, table_row_index FROM lane_candidates) WHERE kind IN ('fact', 'table_row')")
@@ -221,9 +221,9 @@ def text_rate(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).groupBy("form").agg(Q.rate_text(F.count("text"), F.count("*")).alias("rate"))
 
 
-@query("""(SELECT k, 'missing' AS side FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)) UNION ALL (SELECT k, 'surplus' FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer))""")
+@query("""(SELECT k, 'missing' AS side FROM (SELECT c_custkey AS k FROM customer WHERE c_mktsegment = 'BUILDING' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')) UNION ALL (SELECT k, 'surplus' FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P' EXCEPT SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))""")
 def reconcile_customers(spark: SparkSession, d: str) -> DataFrame:
-    return Q.reconcile(table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k")), "k")
+    return Q.reconcile(table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")), "k")
 
 
 @query("""SELECT user_id, round(coalesce(sum(value) FILTER (date_trunc('day', ts) = TIMESTAMP '2024-01-20'), 0), 4) AS day_spend, round(coalesce(sum(value) FILTER (date_trunc('month', ts) = TIMESTAMP '2024-01-01'), 0), 4) AS month_spend FROM events GROUP BY 1""")

@@ -73,10 +73,10 @@ def comparability(spark: SparkSession, d: str) -> DataFrame:
     return payloads(spark, d).select("id", P.comparability_key(["entity_id", "metric_id", "unit"]).alias("comparability"))
 
 
-@query(f"""WITH {KPI_SQL} SELECT entity_id, metric_id, period_end, count(DISTINCT id) AS n_members, count(DISTINCT raw_value) AS n_values, CASE WHEN count(DISTINCT raw_value) > 1 THEN 'conflict' ELSE 'duplicate' END AS kind
+@query(f"""WITH {KPI_SQL} SELECT entity_id, metric_id, CAST(period_end AS VARCHAR) AS period_end, count(DISTINCT id) AS n_members, count(DISTINCT raw_value) AS n_values, CASE WHEN count(DISTINCT raw_value) > 1 THEN 'conflict' ELSE 'duplicate' END AS kind
   FROM k WHERE raw_value IS NOT NULL GROUP BY ALL HAVING count(DISTINCT id) > 1""")
 def conflict_groups(spark: SparkSession, d: str) -> DataFrame:
-    return P.conflict_groups(payloads(spark, d).where("raw_value is not null"), ["entity_id", "metric_id", "period_end"], "id", "raw_value")
+    return P.conflict_groups(payloads(spark, d).where("raw_value is not null"), ["entity_id", "metric_id", "period_end"], "id", "raw_value").withColumn("period_end", F.col("period_end").cast("string"))
 
 
 @query("SELECT sha256(text) AS digest, min(id) AS first_id, count(DISTINCT id) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(DISTINCT id) > 1")
@@ -92,15 +92,16 @@ def segments_sum(spark: SparkSession, d: str) -> DataFrame:
     return P.segments_total(rows, ["l_orderkey"], F.col("l_extendedprice"), F.col("o_totalprice"))
 
 
-@query("""WITH f AS (SELECT DISTINCT id, entity_id, period_end, concept, CAST(value AS DOUBLE) * pow(10, scale) AS v FROM financial_facts WHERE concept IN ('us-gaap:Revenues', 'us-gaap:CostOfRevenue', 'us-gaap:GrossProfit') AND period_end IS NOT NULL AND duplicate_of IS NULL),
-  g AS (SELECT entity_id, period_end, CASE WHEN count(*) FILTER (concept = 'us-gaap:GrossProfit') = 1 THEN max(v) FILTER (concept = 'us-gaap:GrossProfit') END AS actual,
-   CASE WHEN count(*) FILTER (concept = 'us-gaap:Revenues') = 1 THEN max(v) FILTER (concept = 'us-gaap:Revenues') END - abs(CASE WHEN count(*) FILTER (concept = 'us-gaap:CostOfRevenue') = 1 THEN max(v) FILTER (concept = 'us-gaap:CostOfRevenue') END) AS expected FROM f GROUP BY ALL)
-  SELECT entity_id, period_end, abs(actual - expected) <= greatest(abs(actual), abs(expected)) * 0.005 AS balanced FROM g WHERE actual IS NOT NULL AND expected IS NOT NULL""")
-def gross_profit_identity(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "financial_facts").where(F.col("concept").isin("us-gaap:Revenues", "us-gaap:CostOfRevenue", "us-gaap:GrossProfit") & F.col("period_end").isNotNull() & F.col("duplicate_of").isNull())
-    f = f.select("id", "entity_id", "period_end", "concept", (F.col("value").cast("double") * F.pow(F.lit(10.0), "scale")).alias("v")).distinct()
-    out = P.identity_balance(f, ["entity_id", "period_end"], "concept", "v", "us-gaap:GrossProfit", "us-gaap:Revenues", "us-gaap:CostOfRevenue")
-    return out.select("entity_id", "period_end", "balanced")
+@query("""SELECT l_orderkey, abs(net - (gross - abs(given))) <= greatest(abs(net), abs(gross - abs(given))) * 0.005 AS balanced FROM (SELECT l_orderkey, sum(l_extendedprice) AS gross, sum(l_extendedprice * l_discount) AS given,
+  sum(l_extendedprice * (1 - l_discount)) + count(*) FILTER (l_returnflag = 'R') * 100 AS net FROM lineitem GROUP BY 1)""")
+def net_price_identity(spark: SparkSession, d: str) -> DataFrame:
+    """net = gross - |discount| of each order, with an error planted where lines were returned."""
+    per = table(spark, d, "lineitem").groupBy("l_orderkey").agg(
+        F.sum("l_extendedprice").alias("gross"), F.sum(F.col("l_extendedprice") * F.col("l_discount")).alias("given"),
+        (F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) + F.count_if(F.col("l_returnflag") == "R") * 100).alias("net"),
+    )
+    rows = per.unpivot(["l_orderkey"], ["gross", "given", "net"], "metric", "value")
+    return P.identity_balance(rows, ["l_orderkey"], "metric", "value", "net", "gross", "given").select("l_orderkey", "balanced")
 
 
 @query(f"""WITH {KPI_SQL} SELECT id, array_to_string(list_filter([CASE WHEN value IS NULL THEN 'missing_value' END, CASE WHEN unit IS NULL THEN 'missing_unit' END, CASE WHEN unit = 'percent' AND abs(TRY_CAST(value AS DOUBLE)) > 1000 THEN 'percent_bounds' END,

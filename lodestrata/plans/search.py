@@ -16,7 +16,7 @@ query = Registry()
 TERMS = ["revenue", "operations"]
 DISTANCE_SQL = """CASE WHEN sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(b, lambda x: x * x))) = 0 THEN 1.0
   ELSE 1 - list_dot_product(a, b) / (sqrt(list_sum(list_transform(a, lambda x: x * x))) * sqrt(list_sum(list_transform(b, lambda x: x * x)))) END"""
-PAIRS_SQL = f"""pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, round({DISTANCE_SQL.replace('(a,', '(v.a,').replace('(b,', '(q.a,').replace('(a, b)', '(v.a, q.a)').replace('product(v.a, b)', 'product(v.a, q.a)')}, 6) AS distance
+PAIRS_SQL = f"""pairs AS (SELECT q.vec_id AS query_id, v.vec_id AS item_id, round({DISTANCE_SQL.replace('(a,', '(v.a,').replace('(b,', '(q.a,').replace('(a, b)', '(v.a, q.a)').replace('product(v.a, b)', 'product(v.a, q.a)')}, 6) + 0.0 AS distance
   FROM e v CROSS JOIN (SELECT * FROM e WHERE vec_id % 50 = 0) q)"""
 E_SQL = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, label FROM embeddings)"
 
@@ -51,10 +51,10 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.ranked(top, [], [F.col("score").desc(), F.col("item_id")])
 
 
-@query(f"""WITH {E_SQL}, {LEXICAL_SQL}, den AS (SELECT v.vec_id AS item_id, round({DISTANCE_SQL.replace('(a,', '(v.a,').replace('(b,', '(q.a,').replace('product(v.a, b)', 'product(v.a, q.a)')}, 6) AS distance FROM e v CROSS JOIN (SELECT * FROM e WHERE vec_id = 50) q),
+@query(f"""WITH {E_SQL}, {LEXICAL_SQL}, den AS (SELECT v.vec_id AS item_id, round({DISTANCE_SQL.replace('(a,', '(v.a,').replace('(b,', '(q.a,').replace('product(v.a, b)', 'product(v.a, q.a)')}, 6) + 0.0 AS distance FROM e v CROSS JOIN (SELECT * FROM e WHERE vec_id = 50) q),
   lanes AS (SELECT item_id, r FROM (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS r FROM lex) WHERE r <= 100 UNION ALL SELECT item_id, r FROM (SELECT item_id, row_number() OVER (ORDER BY distance, item_id) AS r FROM den) WHERE r <= 100),
   fused AS (SELECT item_id, CAST(sum(CAST(round(1::DOUBLE / (60 + r), 12) AS DECIMAL(13,12))) AS DECIMAL(16,12)) AS fused_score FROM lanes GROUP BY 1)
-  SELECT item_id, fused_score, fused_rank, CASE WHEN fused_rank <= 16 THEN 'accepted' ELSE 'beyond_context_budget' END AS decision FROM (SELECT *, CAST(row_number() OVER (ORDER BY fused_score DESC, item_id) AS INTEGER) AS fused_rank FROM fused) WHERE fused_rank <= 100""")
+  SELECT item_id, CAST(fused_score AS DOUBLE) AS fused_score, fused_rank, CASE WHEN fused_rank <= 16 THEN 'accepted' ELSE 'beyond_context_budget' END AS decision FROM (SELECT *, CAST(row_number() OVER (ORDER BY fused_score DESC, item_id) AS INTEGER) AS fused_rank FROM fused) WHERE fused_rank <= 100""")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Dense and lexical lanes over the same ids, fused; the first 16 make the context."""
     e = table(spark, d, "embeddings")
@@ -63,7 +63,7 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     lexical = lexical_topk(spark, d).select("item_id", F.lit("lexical").alias("lane"), F.col("rank").alias("lane_rank"))
     both = dense.unionByName(lexical).withColumns({"run_id": F.lit("q"), "provenance": F.col("item_id").cast("string")})
     fused, _ = R.fuse(both)
-    return R.context(R.rerank(fused), 16).drop("run_id")
+    return R.context(R.rerank(fused), 16).drop("run_id").withColumn("fused_score", F.col("fused_score").cast("double"))
 
 
 CANDIDATES_SQL = """c AS (SELECT DISTINCT run_id, item_id, lane, lane_rank, kind, source_span_id, document_version_id, financial_fact_id, table_row_index FROM lane_candidates),
@@ -78,9 +78,9 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("provenance", R.provenance_key(F.col("kind"), F.col("financial_fact_id"), F.col("document_version_id"), F.col("table_row_index"), F.col("source_span_id")))
 
 
-@query(f"WITH {CANDIDATES_SQL} SELECT run_id, item_id, fused_score, CAST(row_number() OVER (PARTITION BY run_id ORDER BY fused_score DESC, item_id) AS INTEGER) AS fused_rank FROM w WHERE n = 1")
+@query(f"WITH {CANDIDATES_SQL} SELECT run_id, item_id, CAST(fused_score AS DOUBLE) AS fused_score, CAST(row_number() OVER (PARTITION BY run_id ORDER BY fused_score DESC, item_id) AS INTEGER) AS fused_rank FROM w WHERE n = 1")
 def fused_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return R.fuse(candidates(spark, d))[0]
+    return R.fuse(candidates(spark, d))[0].withColumn("fused_score", F.col("fused_score").cast("double"))
 
 
 @query(f"WITH {CANDIDATES_SQL} SELECT run_id, item_id, n = 1 AS kept, CASE WHEN n > 1 THEN winner END AS merged_into FROM w")
