@@ -77,7 +77,8 @@ def conversions(declared: DataFrame, estimates: DataFrame, least_links: int = LE
     ``confirmed`` (declared and estimated alike), ``declared`` (no links, or they differ: what the label
     says counts, being exact), or ``estimated`` (the label doesn't read, its links tell).
     """
-    edges = cut(estimates.where((F.col("links") >= least_links) & (F.col("spread") <= SNAP) & (F.abs(F.coalesce("offset", F.lit(0.0))) < 0.5)))
+    sure = estimates.where((F.col("links") >= least_links) & (F.col("spread") <= SNAP) & (F.abs(F.coalesce("offset", F.lit(0.0))) < 0.5)).select("label", "ref", "ratio", "links")
+    edges = cut(sure.unionByName(sure.select(F.col("ref").alias("label"), F.col("label").alias("ref"), (-F.col("ratio")).alias("ratio"), "links")))
     known = declared.where("literal").select("label", F.col("common_unit").alias("est_unit"), F.lit(0.0).alias("est"), F.lit(0).cast("bigint").alias("est_links"), F.lit(0).alias("hop"))
     frontier, seen = known, known
     for hop in range(1, HOPS + 1):
