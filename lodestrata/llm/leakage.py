@@ -24,6 +24,7 @@ FILTER_BITS = 22
 CHUNK = 1 << 20
 
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
+UPPER_ENTITY = re.compile(r"&(?:NBSP|AMP|LT|GT|QUOT|APOS|SHY|ENSP|EMSP|THINSP|ZWNJ|ZWJ|NDASH|MDASH|HELLIP|EURO|POUND|YEN);")  # in texts put in capitals
 QUOTED = re.compile(r"(?:=[89A-F][0-9A-F]){2,}")
 ESCAPED = re.compile(r"\\u([0-9a-fA-F]{4})")
 PERCENT = re.compile(r"(?:(?<![0-9])%20|(?:%[89A-Fa-f][0-9A-Fa-f]){2,})")
@@ -61,7 +62,7 @@ def reader_stream(text: str | None) -> bytes:
     if "<" in text:
         text = TAG.sub("", text)
     if "&" in text:
-        text = html.unescape(html.unescape(text))
+        text = html.unescape(html.unescape(UPPER_ENTITY.sub(lambda m: m[0].lower(), text)))
     if "=" in text:
         text = QUOTED.sub(lambda m: bytes.fromhex(m[0].replace("=", "")).decode("utf-8", "ignore"), text)
     if "%" in text:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Kinds of boundaries from the coarsest to the finest.
 KINDS = ("paragraph", "line", "sentence", "word")
-BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+BREAK = r"(?>\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
 #: Each pattern matches the white space at a boundary; a cut falls behind the match.
 PATTERNS = {
     "paragraph": regex.compile(rf"{BREAK}(?:[^\S\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*{BREAK})+"),

@@ -78,9 +78,10 @@ def queries() -> dict:
     return {f.__name__: f for f in (p4_found, p4_pieces, p7_found, p7_records, p8_ids, p9_found, p9_items, p10_found, p10_statistics)}
 
 
-WHITE = r"[ \t\n\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-BREAK = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])"
-BLANK = r"[ \t\x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+WHITE = r"[\x02 \t\n\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+# The carriage return of a pair is turned into \x02, which counts as blank: RE2 would else take the pair for two breaks.
+BREAK = r"[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+BLANK = r"[\x02 \t\x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 STRIP = rf"^{WHITE}+|{WHITE}+$"
 
 
@@ -89,7 +90,7 @@ def fits(cut_text: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    paragraph = rf"regexp_replace(content, '{BREAK}({BLANK}*{BREAK})+', chr(1), 'g')"
+    paragraph = rf"regexp_replace(replace(content, chr(13) || chr(10), chr(2) || chr(10)), '{BREAK}({BLANK}*{BREAK})+', chr(1), 'g')"
     line = rf"regexp_replace({paragraph}, '{BREAK}', chr(1), 'g')"
     sentence = rf"regexp_replace({line}, '([.!?][''\"’”»)\]}}›]*){WHITE}+', '\1' || chr(1), 'g')"
     word = rf"regexp_replace({sentence}, '{WHITE}+', chr(1), 'g')"
