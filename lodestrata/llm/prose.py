@@ -52,6 +52,8 @@ MOST, FAR = 0.5, 30.6  # the 99 % point of chi-squared with 15 degrees of freedo
 PURE = 0.1
 
 
+#: A word of two letters or more, or a number, with the signs that may stand around them.
+PLAIN_TOKEN = re.compile(r"[\"'“‘(\[$€£¥]*(?:[^\W\d_]{2,}(?:['’-][^\W\d_]+)*|a|[IAày]|\d[\d.,]*%?)[.,;:!?\"'”’)\]]*")
 GROUPING = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 
 
@@ -115,7 +117,8 @@ def line_kind(s: str) -> str:
         return "junk"
     bullet, leader = BULLET.match(s), LEADER.search(s)
     if not bullet and not leader and len(raw) - len(raw.translate(None, LOOSE)) > 0.22 * max(1, size - s.count(" ")):
-        return "junk"
+        if n_tokens < 6 or sum(bool(PLAIN_TOKEN.fullmatch(t)) for t in tokens) < 0.6 * n_tokens:
+            return "junk"
     words = CLAUSE.findall(s)
     if leader:
         return "list"
@@ -136,12 +139,13 @@ def paragraph_kind(lines: list[str]) -> str:
     if Counter(lines).most_common(1)[0][1] >= max(4, 0.5 * len(lines)):
         return "junk"
     ends = sum(len(SENTENCE_END.findall(x)) for x in lines)
-    if ends * 8 >= len(lines):
+    tokens = " ".join(lines).lower().split()
+    if ends * 8 >= len(lines) and sum(t in COMMON for t in tokens) >= 0.08 * len(tokens):
         return "prose"
     return "list"
 
 
-SENTENCE_END = re.compile(r"[^\W\d_]{2}[.!?][\"'”’»)\]]*(?:\s|$)|[。！？।؟]")
+SENTENCE_END = re.compile(r"(?:[^\W_]{2}|[%)])[.!?][\"'”’»)\]]*(?:\s|$)|[。！？।؟]")
 
 
 def shares(lines: list[str]) -> dict[str, float]:
