@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import uuid5, uuid_key
@@ -14,7 +14,12 @@ from lodestrata.plans.registry import Registry
 from lodestrata.plans.tables import table
 
 query = Registry()
-AS_OF = F.lit("2022-06-30 12:00:00").cast("timestamp")
+
+
+def as_of() -> Column:
+    return F.lit("2022-06-30 12:00:00").cast("timestamp")
+
+
 AS_OF_SQL = "TIMESTAMPTZ '2022-06-30 12:00:00+00'"
 #: Namespace of the URL version-5 UUIDs.
 URL_SPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -35,12 +40,12 @@ VERSIONS_SQL = f"v AS (SELECT DISTINCT {key('id')} AS id, {key('document_id')} A
 
 @query(f"SELECT doc_id, form, source FROM documents WHERE published_at <= {AS_OF_SQL}")
 def known_documents(spark: SparkSession, d: str) -> DataFrame:
-    return T.known_by(documents(spark, d), AS_OF).select("doc_id", "form", "source")
+    return T.known_by(documents(spark, d), as_of()).select("doc_id", "form", "source")
 
 
 @query(f"WITH {VERSIONS_SQL} SELECT doc_id FROM documents WHERE published_at <= {AS_OF_SQL} AND EXISTS (SELECT 1 FROM v WHERE v.document_id = {key('documents.id')} AND status = 'parsed')")
 def evidence_gate(spark: SparkSession, d: str) -> DataFrame:
-    known = T.known_by(documents(spark, d), AS_OF).select("doc_id", uuid_key(F.col("id")).alias("id"))
+    known = T.known_by(documents(spark, d), as_of()).select("doc_id", uuid_key(F.col("id")).alias("id"))
     return T.with_status(known, versions(spark, d)).select("doc_id")
 
 
@@ -63,7 +68,7 @@ FACTS_SQL = f"""{VERSIONS_SQL}, f AS (SELECT DISTINCT f.id, f.fact_key, f.duplic
 @query(f"""WITH {FACTS_SQL} SELECT fact_key, id, value FROM (SELECT *, row_number() OVER (PARTITION BY fact_key ORDER BY published_at DESC, created_at DESC, id) n FROM f
   WHERE duplicate_of IS NULL AND fact_key IS NOT NULL AND form IS DISTINCT FROM '8-K' AND published_at < {AS_OF_SQL}) WHERE n = 1""")
 def prior_facts_asof(spark: SparkSession, d: str) -> DataFrame:
-    return T.prior_facts(published_facts(spark, d), AS_OF, "8-K").select("fact_key", "id", "value")
+    return T.prior_facts(published_facts(spark, d), as_of(), "8-K").select("fact_key", "id", "value")
 
 
 @query("""SELECT t.id AS target, d.id, strftime(d.published_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS published_at FROM documents t JOIN documents d

@@ -77,3 +77,15 @@ def test_quotes_and_cutoffs(spark):
     assert [tuple(x) for x in n] == [(0.75, 2.0), (None, None), (None, None)]
     m = spark.createDataFrame([("q", 1, False), ("q", 2, True), ("q", 3, True)], "q string, rank int, rel boolean")
     assert tuple(B.rank_metrics(m, "q", "rank", "rel", 2).first()) == ("q", 0.5, 0.5, pytest.approx(0.386853))
+
+
+def test_the_entry_loads_without_a_session_and_without_the_text_subpackage():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    for hide in ("", "import sys; sys.modules['lodestrata.llm'] = None; "):
+        code = hide + "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and 'p1_found' in q; print('p8_ids' in q)"
+        done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+        assert done.stdout.strip() == str(not hide), done.stderr
