@@ -14,10 +14,14 @@ def token_set(text: Column) -> Column:
     return F.array_distinct(words(text))
 
 
+def shared(claim: Column, source: Column) -> Column:
+    """Share of the claim's words (a set) among the source's; 0 for a claim without words."""
+    return F.when(F.size(claim) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(claim, source)) / F.size(claim))
+
+
 def coverage(claim: Column, source: Column) -> Column:
-    """Share of the claim's distinct words that the source has; 0 for a claim without words."""
-    c = token_set(claim)
-    return F.when(F.size(c) == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(c, token_set(source))) / F.size(c))
+    """Share of the claim's distinct words that the source has."""
+    return shared(token_set(claim), token_set(source))
 
 
 def failed_parts(claim: Column, fact: Column) -> Column:

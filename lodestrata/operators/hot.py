@@ -19,8 +19,7 @@ def hot_keys(df: DataFrame, keys: list[str], most: int) -> DataFrame | None:
     """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS))
     full = df.groupBy(bucket.alias("__b")).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select("__b")
-    full = cut(full)
-    if full.isEmpty():
+    if full.count() == 0:
         return None
     counted = df.withColumn("__b", bucket).join(full, "__b", "left_semi").groupBy(*keys).agg(F.count("*").alias("__n"))
     found = cut(counted.where(F.col("__n") > most).select(*keys))
