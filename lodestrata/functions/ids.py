@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 HEX32 = "^[0-9a-f]{32}$"
+USUAL = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 def uuid_key(c: Column) -> Column:
@@ -15,9 +16,10 @@ def uuid_key(c: Column) -> Column:
     give null. What is no UUID keeps its trimmed lower-case spelling, so that two such
     strings still compare as text.
     """
+    # nearly all are spelled in the usual way, which one test and no rewriting settles
     low = F.lower(F.trim(F.regexp_replace(c, r"[\p{Z}\s]+", " ")))
     bare = F.regexp_replace(low, r"^urn:uuid:|[-{} ]", "")
-    return F.when(bare.rlike(HEX32), bare).otherwise(F.when(low != "", low))
+    return F.when(c.rlike(USUAL), F.translate(c, "-", "")).when(bare.rlike(HEX32), bare).otherwise(F.when(low != "", low))
 
 
 def uuid_text(key: Column) -> Column:
@@ -28,7 +30,7 @@ def uuid_text(key: Column) -> Column:
 
 def packed(key: Column) -> Column:
     """A key made by :func:`uuid_key` in 16 bytes; other keys behind 17 zero bytes. Order is kept among UUIDs."""
-    return F.when(key.rlike(HEX32), F.unhex(key)).otherwise(F.concat(F.unhex(F.lit("00" * 17)), F.encode(key, "UTF-8")))
+    return F.coalesce(F.when(F.length(key) == 32, F.unhex(key)), F.concat(F.unhex(F.lit("00" * 17)), F.encode(key, "UTF-8")))
 
 
 def unpacked(b: Column) -> Column:
