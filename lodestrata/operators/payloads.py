@@ -97,3 +97,15 @@ def alias_hits(definitions: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     a = aliases.select(F.col("metric_id").alias("other"), F.lower(F.trim("alias")).alias("__a"))
     return definitions.join(a, F.lower(F.trim("definition")) == F.col("__a")).where(F.col("metric_id") != F.col("other")).select("metric_id", "other").distinct()
+
+
+def part_within_whole(rows: DataFrame, slice_cols: list[str], metric: str, value: str, part: str, whole: str) -> DataFrame:
+    """(slice, within): is |part| no more than |whole|, half a percent aside, where each is given once?"""
+    one = lambda m: F.when(F.count_if(F.col(metric) == m) == 1, F.abs(F.max(F.when(F.col(metric) == m, F.col(value)))))
+    g = rows.groupBy(*slice_cols).agg(one(part).alias("p"), one(whole).alias("w")).where("p is not null and w is not null")
+    return g.select(*slice_cols, ((F.col("p") <= F.col("w")) | near(F.col("p"), F.col("w"))).alias("within"))
+
+
+def merged_counters(log: DataFrame, key: str, counters: list[str]) -> DataFrame:
+    """Counters that only grow, from a log in any order."""
+    return log.groupBy(key).agg(*[F.max(c).alias(c) for c in counters])
