@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.hot import hot_keys
+from lodestrata.operators.stab import around, cover
 
 #: Versions of one key up to which its histories are kept as arrays; keys beyond it are hot.
 ARRAY_VERSIONS = 64
@@ -65,27 +66,14 @@ def _hot_matches(events: DataFrame, versions: DataFrame, key: str, at: str, star
     shuffle. A time lies in one interval of each size, so an event makes LEVELS look-ups,
     however many versions its key has, and no key is gathered in one task.
     """
-    begun = F.struct(_tick(F.col(start)).alias("l"), F.coalesce(_tick(F.col(end)), F.lit(1 << LEVELS)).alias("r"), F.array().cast("array<struct<level:int,node:bigint>>").alias("cover"))
-
-    def step(acc: Column, level: Column) -> Column:
-        l, r = acc["l"], acc["r"]  # noqa: E741
-        left, right = (l < r) & (l % 2 == 1), (l < r) & (r % 2 == 1)
-        one = lambda n: F.array(F.struct(level.cast("int").alias("level"), n.cast("bigint").alias("node")))
-        none = F.array().cast("array<struct<level:int,node:bigint>>")
-        cover = F.concat(acc["cover"], F.when(left, one(l)).otherwise(none), F.when(right & (r - 1 >= F.when(left, l + 1).otherwise(l)), one(r - 1)).otherwise(none))
-        low = F.when(left, l + 1).otherwise(l)
-        high = F.when(right, r - 1).otherwise(r)
-        return F.struct(F.when(l < r, F.shiftright(low, 1)).otherwise(l).alias("l"), F.when(l < r, F.shiftright(high, 1)).otherwise(r).alias("r"), cover.alias("cover"))
-
-    cover = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS)), begun, step)["cover"]
+    nodes = cover(_tick(F.col(start)), F.coalesce(_tick(F.col(end)), F.lit(1 << LEVELS)), LEVELS)
     value = F.struct(F.struct(*rank).alias("__rank"), *[F.col(a).cast("string").alias(a) for a in attributes])
     best = (
         versions.where(F.col(start).isNotNull() & F.col(rank[0]).isNotNull() & (F.col(end).isNull() | (F.col(start) < F.col(end))))
-        .select(key, value.alias("__won"), F.explode(cover).alias("__n")).groupBy(key, "__n").agg(F.max("__won").alias("__won"))
+        .select(key, value.alias("__won"), F.explode(nodes).alias("__n")).groupBy(key, "__n").agg(F.max("__won").alias("__won"))
     )
-    nodes = F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda i: F.struct(i.cast("int").alias("level"), F.call_function("shiftright", _tick(F.col(at)), i).alias("node")))
-    ids = [c for c in events.columns]
-    asked = events.select(*ids, F.explode(nodes).alias("__n"))
+    ids = events.columns
+    asked = events.select(*ids, F.explode(around(_tick(F.col(at)), LEVELS)).alias("__n"))
     won = asked.join(best, [key, "__n"]).groupBy(*ids).agg(F.max("__won").alias("__won"))
     return won.select(*ids, *[F.col(f"__won.{a}").alias(a) for a in attributes])
 

@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.hot import hot_keys
+from lodestrata.operators.stab import around, cover
+
+#: Offsets are below 2^31.
+OFFSET_BITS = 31
+
 
 def content_hash(text: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(text, 256))
@@ -61,14 +67,24 @@ def segments(spans: DataFrame, group: str) -> DataFrame:
     return cut.where("seg_end is not null and covers > 0")
 
 
-def narrowest_spans(spans: DataFrame, points: DataFrame, group: str) -> DataFrame:
+def narrowest_spans(spans: DataFrame, points: DataFrame, group: str, few: int = 256) -> DataFrame:
     """(group, at, id): of the spans over each point the shortest, then the smallest id.
 
-    ``points`` has (group, at) and is met with the spans of its own group only.
+    ``points`` has (group, at). A group of up to ``few`` spans meets its points directly. In
+    larger ones points and spans meet in aligned intervals of which each keeps its best
+    span, so a group with many of both makes no pairs.
     """
-    p = points.select(group, "at").distinct()
-    over = spans.select(group, "id", "start_char", "end_char").distinct().join(p, group).where((F.col("start_char") <= F.col("at")) & (F.col("at") < F.col("end_char")))
-    return over.groupBy(group, "at").agg(F.min(F.struct((F.col("end_char") - F.col("start_char")).alias("n"), "id")).alias("b")).select(group, "at", "b.id")
+    p = points.where(F.col(group).isNotNull() & (F.col("at") >= 0)).select(group, "at").distinct()
+    s = spans.where(F.col(group).isNotNull() & (F.col("start_char") >= 0) & (F.col("end_char") > F.col("start_char"))).select(group, "id", "start_char", "end_char").distinct()
+    best = F.struct((F.col("end_char") - F.col("start_char")).alias("n"), "id")
+    hot = hot_keys(s, [group], few)
+    small = s if hot is None else s.join(hot, group, "left_anti")
+    met = small.join(p, group).where((F.col("start_char") <= F.col("at")) & (F.col("at") < F.col("end_char"))).select(group, "at", best.alias("b"))
+    if hot is not None:
+        kept = s.join(hot, group, "left_semi").select(group, best.alias("b"), F.explode(cover(F.col("start_char"), F.col("end_char"), OFFSET_BITS)).alias("__n")).groupBy(group, "__n").agg(F.min("b").alias("b"))
+        asked = p.join(hot, group, "left_semi").select(group, "at", F.explode(around(F.col("at"), OFFSET_BITS)).alias("__n"))
+        met = met.unionByName(asked.join(kept, [group, "__n"]).select(group, "at", "b"))
+    return met.groupBy(group, "at").agg(F.min("b").alias("b")).select(group, "at", "b.id")
 
 
 def local_anchor(start: Column, end: Column, section_start: Column, section_end: Column) -> Column:

@@ -129,10 +129,6 @@ def sliding_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
-SESSIONS_SQL = """m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
-  s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM m)"""
-
-
 @query("""WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '6 hours' THEN 0 ELSE 1 END AS new FROM (SELECT DISTINCT user_id, ts FROM events)),
   s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM o), b AS (SELECT user_id, k, min(ts) AS started, max(ts) + INTERVAL '6 hours' AS ended FROM s GROUP BY ALL)
   SELECT b.user_id, started, ended, count(*) AS n FROM b JOIN events e ON e.user_id = b.user_id AND e.ts >= started AND e.ts < ended GROUP BY ALL""")

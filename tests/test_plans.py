@@ -67,6 +67,20 @@ def test_segments_match_brute_force(spark):
     assert got == {(a, b, n) for a, b in zip(edges, edges[1:]) if (n := sum(s[2] <= a and s[3] >= b for s in spans if s[3] > s[2]))}
 
 
+@pytest.mark.parametrize("few", [256, 2])
+def test_narrowest_span_matches_brute_force(spark, few):
+    r = random.Random(2)
+    spans = [(r.choice("gh"), f"s{i:02d}", a, a + r.randint(0, 30)) for i in range(60) for a in [r.randint(0, 90)]]
+    points = [(g, x) for g in "ghi" for x in range(0, 125, 3)]
+    df = spark.createDataFrame(spans + spans[:5] + [(None, "n", 0, 9)], "g string, id string, start_char int, end_char int")
+    got = {tuple(x) for x in S.narrowest_spans(df, spark.createDataFrame(points + points[:2], "g string, at int"), "g", few).collect()}
+    want = set()
+    for g, x in points:
+        if over := [(e - s, i) for k, i, s, e in spans if k == g and s <= x < e]:
+            want.add((g, x, min(over)[1]))
+    assert got == want
+
+
 def test_quotes_and_cutoffs(spark):
     q = spark.createDataFrame([("1", "a", "s", "cat"), ("2", "a", "s", "dog"), ("3", "a", "s", "t")], "quote_id string, accession string, section string, quote string")
     s = spark.createDataFrame([("a", "s", "x", "the cat"), ("a", "s", "y", "a tree"), ("a", "t", "z", "dog")], "accession string, section string, span_id string, text string")
