@@ -46,7 +46,7 @@ STATS = (
 )
 #: Kinds and the statistics whose contributions speak for them.
 KIND_STATS = {"list": "list_share", "table": "table_share", "junk": "junk_share"}
-#: The share of a text above which it is no prose; the squared distance above which a document is an outlier.
+#: The share of a text above which it is no prose; the squared distance above which a document is left out of the final fit.
 MOST, FAR = 0.5, 30.6  # the 99 % point of chi-squared with 15 degrees of freedom
 #: Documents whose shares of list, table and junk are no more than this count as prose of their language at first.
 PURE = 0.1
@@ -329,10 +329,12 @@ def outlierness(stats: DataFrame, prose: Prose) -> DataFrame:
 
 
 def no_prose(distances: DataFrame) -> DataFrame:
-    """(id, kind): outliers most of whose text is in lists, tables or junk.
+    """(id, kind): documents most of whose text is in lists, tables or junk.
 
-    The kind is the one with the greatest share, of equal ones the first of list, table, junk.
+    The shares alone decide, on any corpus: prose far from its language's usual statistics stays
+    prose, and a table stays one where there is no prose to be far from. The kind is the one with
+    the greatest share, of equal ones the first of list, table, junk.
     """
     named = F.array(*[F.struct(F.col(c).alias("share"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, c) in enumerate(KIND_STATS.items())])
     all_shares = sum((F.col(c) for c in KIND_STATS.values()), F.lit(0.0))
-    return distances.where((F.col("distance") * F.col("distance") > FAR) & (all_shares > MOST)).select("id", F.array_max(named)["kind"].alias("kind"))
+    return distances.where(all_shares > MOST).select("id", F.array_max(named)["kind"].alias("kind"))

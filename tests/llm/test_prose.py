@@ -53,3 +53,11 @@ def test_statistics_of_odd_texts():
 def test_empty_table(spark):
     stats = document_statistics(spark.createDataFrame([], "doc_id long, text string, lang string"), "doc_id", "text", "lang")
     assert no_prose(outlierness(stats, fit_prose(stats))).count() == 0
+
+
+def test_tables_count_without_any_prose_to_be_far_from(spark):
+    rows = [(i, "\n".join(f"{i} {j} 7" for j in range(3)), "en") for i in range(5)]
+    stats = document_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    distances = outlierness(stats, fit_prose(stats)).cache()
+    assert distances.where("distance * distance > 30.6").count() == 0
+    assert {tuple(x) for x in no_prose(distances).collect()} == {(i, "table") for i in range(5)}
