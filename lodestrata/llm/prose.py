@@ -93,7 +93,7 @@ def line_kind(s: str) -> str:
     if size > 100 and n_tokens > 0.1 * size and odd < 0.02 * size and digits < 0.15 * size and s.isascii() and "  " not in s and "\t" not in s:
         commas = s.count(",") + s.count(";")
         if commas < 7 or n_tokens > 3.2 * (commas + 1):
-            if n_tokens < 14 or not BULLET.match(s):
+            if not BULLET.match(s) and not LEADER.search(s):
                 return "prose"
     if not any(map(str.isalnum, s)):
         if size >= 3 and "|" not in s:

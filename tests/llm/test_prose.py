@@ -61,3 +61,11 @@ def test_tables_count_without_any_prose_to_be_far_from(spark):
     distances = outlierness(stats, fit_prose(stats)).cache()
     assert distances.where("distance * distance > 30.6").count() == 0
     assert {tuple(x) for x in no_prose(distances).collect()} == {(i, "table") for i in range(5)}
+
+
+def test_long_entries_are_entries():
+    from lodestrata.llm.prose import line_kind
+
+    assert line_kind("* consolidated subsidiaries operating distribution warehouses throughout continental territories including Luxembourg") == "list"
+    assert line_kind("Notes to the consolidated financial statements of the Company and of its subsidiaries in all regions . . . . 12") == "list"
+    assert line_kind("The notes to the consolidated financial statements of the Company and its subsidiaries cover all regions in full.") == "prose"
