@@ -160,6 +160,14 @@ def narrowest_span(spark: SparkSession, d: str) -> DataFrame:
     return S.narrowest_spans(s, s.select("document_version_id", F.col("start_char").alias("at")), "document_version_id")
 
 
+@query(f"""WITH {SPANS_SQL}, q AS (SELECT DISTINCT v, id, start_char, end_char FROM p WHERE end_char > start_char AND v IS NOT NULL), b AS (SELECT v, start_char AS a FROM q UNION SELECT v, end_char FROM q)
+  SELECT b.v AS document_version_id, a AS at, arg_min(q.id, (q.end_char - q.start_char, q.id)) AS id FROM b JOIN q ON b.v = q.v AND q.start_char <= a AND a < q.end_char GROUP BY ALL""")
+def segment_narrowest_span(spark: SparkSession, d: str) -> DataFrame:
+    """The narrowest span of every covered segment, also of those that begin where a span ends; at is the segment's start."""
+    s = spans(spark, d).where("document_version_id is not null")
+    return S.narrowest_spans(s, S.segments(s, "document_version_id").select("document_version_id", F.col("seg_start").alias("at")), "document_version_id")
+
+
 @query(f"""WITH {SECTIONS_SQL} SELECT v AS document_version_id, id, start_char, coalesce(lead(start_char) OVER (PARTITION BY v ORDER BY start_char, id), m) AS end_char
   FROM (SELECT *, max(end_char) OVER (PARTITION BY v) AS m FROM s) WHERE v IS NOT NULL""")
 def section_ranges(spark: SparkSession, d: str) -> DataFrame:

@@ -53,3 +53,20 @@ def test_facts_plan_has_no_python_in_the_hot_path(spark):
     for name in ("fused_candidates", "prior_facts_asof", "span_segments", "segments_sum"):
         plan = entry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["segment_narrowest_span"])
+def test_whole_jobs_give_the_rows_of_their_sql(spark, con, name):
+    got = entry.queries()[name](spark, DATA)
+    want = con.execute(entry.oracle_sql()[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    found = rows(got.columns, got.collect())
+    assert found and found == rows(columns, want.fetchall())
+
+
+def test_every_covered_segment_has_its_narrowest_span(spark):
+    key = ["document_version_id", "at"]
+    asked = entry.queries()["span_segments"](spark, DATA).withColumnRenamed("seg_start", "at").select(key)
+    found = entry.queries()["segment_narrowest_span"](spark, DATA).select(key)
+    assert asked.exceptAll(found).count() == found.exceptAll(asked).count() == 0
