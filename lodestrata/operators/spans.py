@@ -57,7 +57,7 @@ def segments(spans: DataFrame, group: str) -> DataFrame:
     """(group, seg_start, seg_end, covers): a group cut at all span boundaries, with the spans over each segment.
 
     Covering counts come from a running sum of starts and ends, so spans are not
-    joined with each other; ids are listed only where a segment is covered, through the boundaries each span lies across.
+    joined with each other. Only covered segments are returned; which spans cover one tells :func:`section_segments`.
     """
     s = spans.where("end_char > start_char").select(group, "id", "start_char", "end_char").distinct()
     edges = s.select(group, F.explode(F.array(F.struct(F.col("start_char").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end_char").alias("at"), F.lit(-1).alias("d")))).alias("e"))
@@ -67,6 +67,38 @@ def segments(spans: DataFrame, group: str) -> DataFrame:
     return cut.where("seg_end is not null and covers > 0")
 
 
+def spans_over(spans: DataFrame, points: DataFrame, group: str, few: int = 256) -> DataFrame:
+    """(group, at, id): every span over each point, once.
+
+    Spans and points, from 0 on, are distinct. A group of up to ``few`` spans meets its points
+    directly. In larger ones they meet in aligned intervals: those of a span don't overlap, so a
+    point finds it in one of them, and only pairs that are returned are made.
+    """
+    hot = hot_keys(spans, [group], few)
+    small = spans if hot is None else spans.join(hot, group, "left_anti")
+    met = small.join(points, group).where((F.col("start_char") <= F.col("at")) & (F.col("at") < F.col("end_char"))).select(group, "at", "id")
+    if hot is not None:
+        kept = spans.join(hot, group, "left_semi").select(group, "id", F.explode(cover(F.col("start_char"), F.col("end_char"), OFFSET_BITS)).alias("__n"))
+        asked = points.join(hot, group, "left_semi").select(group, "at", F.explode(around(F.col("at"), OFFSET_BITS)).alias("__n"))
+        met = met.unionByName(asked.join(kept, [group, "__n"]).select(group, "at", "id"))
+    return met
+
+
+def section_segments(spans: DataFrame, sections: DataFrame, few: int = 256) -> DataFrame:
+    """(section_id, seg_start, seg_end, span_id): each section cut at all boundaries of its spans, without gaps.
+
+    A row for each span over a segment, one without span_id where there is none. Spans that aren't
+    within their section are left out, not clamped. Spans have (id, section_id, start_char, end_char), sections (id,
+    start_char, end_char); offsets are those of the text.
+    """
+    whole = sections.where("start_char >= 0 and end_char > start_char").select(F.col("id").alias("section_id"), F.col("start_char").alias("__s"), F.col("end_char").alias("__e")).distinct()
+    inside = spans.join(whole, "section_id").where("start_char >= __s and end_char > start_char and end_char <= __e").select("section_id", "id", "start_char", "end_char").distinct()
+    edges = whole.select("section_id", F.explode(F.array("__s", "__e")).alias("at")).unionByName(inside.select("section_id", F.explode(F.array("start_char", "end_char")).alias("at"))).distinct()
+    cut = edges.select("section_id", "at", F.lead("at").over(Window.partitionBy("section_id").orderBy("at")).alias("seg_end")).where("seg_end is not null")
+    over = spans_over(inside, cut.select("section_id", "at"), "section_id", few)
+    return cut.join(over, ["section_id", "at"], "left").select("section_id", F.col("at").alias("seg_start"), "seg_end", F.col("id").alias("span_id"))
+
+
 def narrowest_spans(spans: DataFrame, points: DataFrame, group: str, few: int = 256) -> DataFrame:
     """(group, at, id): of the spans over each point the shortest, then the smallest id.
 

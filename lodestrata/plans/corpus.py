@@ -168,6 +168,16 @@ def segment_narrowest_span(spark: SparkSession, d: str) -> DataFrame:
     return S.narrowest_spans(s, S.segments(s, "document_version_id").select("document_version_id", F.col("seg_start").alias("at")), "document_version_id")
 
 
+@query(f"""WITH {SECTIONS_SQL}, {SPANS_SQL}, w AS (SELECT id AS section_id, start_char, end_char FROM s WHERE start_char >= 0 AND end_char > start_char),
+  q AS (SELECT DISTINCT w.section_id, p.id, p.start_char, p.end_char FROM p JOIN w ON p.section_id = w.section_id WHERE p.start_char >= w.start_char AND p.end_char > p.start_char AND p.end_char <= w.end_char),
+  b AS (SELECT section_id, start_char AS a FROM w UNION SELECT section_id, end_char FROM w UNION SELECT section_id, start_char FROM q UNION SELECT section_id, end_char FROM q),
+  c AS (SELECT section_id, a AS seg_start, lead(a) OVER (PARTITION BY section_id ORDER BY a) AS seg_end FROM b)
+  SELECT c.section_id, seg_start, seg_end, q.id AS span_id FROM c LEFT JOIN q ON c.section_id = q.section_id AND q.start_char <= seg_start AND q.end_char >= seg_end WHERE seg_end IS NOT NULL""")
+def section_segment_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Sections cut at the boundaries of their spans: a row for each span over a segment, one with a null span_id where none is."""
+    return S.section_segments(spans(spark, d), sections(spark, d))
+
+
 @query(f"""WITH {SECTIONS_SQL} SELECT v AS document_version_id, id, start_char, coalesce(lead(start_char) OVER (PARTITION BY v ORDER BY start_char, id), m) AS end_char
   FROM (SELECT *, max(end_char) OVER (PARTITION BY v) AS m FROM s) WHERE v IS NOT NULL""")
 def section_ranges(spark: SparkSession, d: str) -> DataFrame:

@@ -103,3 +103,19 @@ def test_the_entry_loads_without_a_session_and_without_the_text_subpackage():
         code = hide + "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and 'p1_found' in q; print('p8_ids' in q)"
         done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
         assert done.stdout.strip() == str(not hide), done.stderr
+
+
+@pytest.mark.parametrize("few", [256, 2])
+def test_section_segments_list_their_spans(spark, few):
+    r = random.Random(4)
+    sections = [("g", 5, 60), ("h", 0, 20), ("i", 7, 9), ("j", 3, 3)]
+    spans = [(f"s{i:02d}", r.choice("ggghk"), a, a + r.randint(0, 12)) for i in range(50) for a in [r.randint(0, 58)]]
+    df = spark.createDataFrame(spans + spans[:4], "id string, section_id string, start_char int, end_char int")
+    got = [tuple(x) for x in S.section_segments(df, spark.createDataFrame(sections + sections[:1], "id string, start_char int, end_char int"), few).collect()]
+    want = set()
+    for g, s, e in sections:
+        mine = {x for x in spans if x[1] == g and s <= x[2] < x[3] <= e}
+        edges = sorted({s, e} | {y for x in mine for y in x[2:]})
+        for a, b in zip(edges, edges[1:]):
+            want |= {(g, a, b, x[0]) for x in mine if x[2] <= a and x[3] >= b} or {(g, a, b, None)}
+    assert len(got) == len(want) and set(got) == want and any(x[3] is None for x in want)
