@@ -66,6 +66,22 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return R.context(R.rerank(fused), 16).drop("run_id").withColumn("fused_score", F.col("fused_score").cast("double"))
 
 
+@query(f"""WITH {E_SQL}, {LEXICAL_SQL}, {PAIRS_SQL}, lex_lane AS (SELECT item_id, r FROM (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS r FROM lex) WHERE r <= 100),
+  lanes AS (SELECT q.vec_id AS query_id, item_id, r FROM lex_lane CROSS JOIN (SELECT vec_id FROM e WHERE vec_id % 50 = 0) q UNION ALL SELECT query_id, item_id, r FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS r FROM pairs) WHERE r <= 100),
+  fused AS (SELECT query_id, item_id, CAST(sum(CAST(round(1::DOUBLE / (60 + r), 12) AS DECIMAL(13,12))) AS DECIMAL(16,12)) AS fused_score FROM lanes GROUP BY ALL)
+  SELECT query_id, item_id, CAST(fused_score AS DOUBLE) AS fused_score, fused_rank, CASE WHEN fused_rank <= 16 THEN 'accepted' ELSE 'beyond_context_budget' END AS decision
+  FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, item_id) AS INTEGER) AS fused_rank FROM fused) WHERE fused_rank <= 100""")
+def hybrid_rrf_queries(spark: SparkSession, d: str) -> DataFrame:
+    """hybrid_rrf for every vector whose id is divisible by 50: its own dense lane, fusion and context; the terms are the same for all."""
+    asked = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
+    dense = neighbours(spark, d, 100).select("query_id", "item_id", F.lit("dense").alias("lane"), F.col("rank").alias("lane_rank"))
+    lexical = lexical_topk(spark, d).crossJoin(asked).select("query_id", "item_id", F.lit("lexical").alias("lane"), F.col("rank").alias("lane_rank"))
+    both = dense.unionByName(lexical).withColumn("provenance", F.col("item_id").cast("string"))
+    # fuse and context work per run; the window and the budget of each run are its own
+    fused, _ = R.fuse(both.withColumnRenamed("query_id", "run_id"))
+    return R.context(R.rerank(fused), 16).withColumnRenamed("run_id", "query_id").withColumn("fused_score", F.col("fused_score").cast("double"))
+
+
 CANDIDATES_SQL = """c AS (SELECT DISTINCT run_id, item_id, lane, lane_rank, kind, source_span_id, document_version_id, financial_fact_id, table_row_index FROM lane_candidates),
 k AS (SELECT run_id, item_id, lane, min(lane_rank) AS r, min(CASE WHEN financial_fact_id IS NOT NULL THEN 'fact|' || financial_fact_id WHEN table_row_index IS NOT NULL THEN 'row|' || coalesce(document_version_id, '-') || '|' || coalesce(source_span_id, '-') || '|' || table_row_index
   ELSE 'span|' || kind || '|' || coalesce(source_span_id, '-') END) AS p FROM c GROUP BY ALL),
