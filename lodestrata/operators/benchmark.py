@@ -18,6 +18,34 @@ def resolve_quotes(quotes: DataFrame, spans: DataFrame) -> DataFrame:
     return out.select("quote_id", "n", F.when(F.col("n") == 1, F.col("span_id")).alias("span_id"), code.alias("code"))
 
 
+def quote_scopes(quotes: DataFrame, spans: DataFrame) -> DataFrame:
+    """(quote_id, accession, n, span_id, code): for each accession with a whole quote in its texts, in how many spans it stands.
+
+    Several spans of one accession are AMBIGUOUS_QUOTE (no span then); a quote in no text at all
+    has one row, UNRESOLVED_QUOTE. An empty quote is in none. Quotes have (quote_id, quote), spans (accession, span_id, text).
+
+    What stands between two blanks of a quote must stand between blanks in the text. So texts
+    are first asked for one such part of each quote, the one in fewest texts of the corpus; the whole
+    quote is then compared there. Quotes without such a part are compared with every text.
+    """
+    parts = lambda text: F.array_distinct(F.split(text, " ", -1))
+    asked = quotes.where(F.length("quote") > 0).select("quote_id", "quote").distinct()
+    inner = F.split("quote", " ", -1)
+    inner = asked.select("quote_id", F.explode(F.array_distinct(F.filter(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))), lambda x: x != ""))).alias("part"))
+    held = spans.select("span_id", F.explode(parts(F.col("text"))).alias("part"))
+    counted = held.join(inner.select("part").distinct(), "part").groupBy("part").agg(F.count("*").alias("__n"))
+    rarest = inner.join(counted, "part", "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "part"))["part"].alias("part"))
+    rare = held.join(rarest, "part").select("span_id", "quote_id").distinct().join(asked, "quote_id")
+    whole = F.col("text").contains(F.col("quote"))
+    hits = spans.join(rare, "span_id").where(whole).select("quote_id", "accession", "span_id")
+    rest = asked.join(rarest, "quote_id", "left_anti")
+    hits = hits.unionByName(spans.join(rest, whole).select("quote_id", "accession", "span_id"))
+    scopes = hits.groupBy("quote_id", "accession").agg(F.countDistinct("span_id").alias("n"), F.min("span_id").alias("span_id"))
+    out = quotes.select("quote_id").distinct().join(scopes, "quote_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    code = F.when(F.col("n") == 0, "UNRESOLVED_QUOTE").when(F.col("n") > 1, "AMBIGUOUS_QUOTE")
+    return out.select("quote_id", "accession", "n", F.when(F.col("n") == 1, F.col("span_id")).alias("span_id"), code.alias("code"))
+
+
 def temporal_codes(accepted: Column, as_of: Column, role: Column) -> Column:
     """Evidence must be accepted by the cutoff; a future revision strictly after it.
 

@@ -71,6 +71,14 @@ def quote_resolution(spark: SparkSession, d: str) -> DataFrame:
     return B.resolve_quotes(quotes, e.select(F.lit("all").alias("accession"), F.col("category").alias("section"), F.col("item_id").alias("span_id"), "text"))
 
 
+@query("""WITH h AS (SELECT e.item_id AS quote_id, regexp_replace(d.accession, '[^0-9]', '', 'g') AS accession, count(DISTINCT d.doc_id) AS n, min(d.doc_id) AS s FROM eval_items e JOIN documents d ON e.text <> '' AND contains(d.text, e.text) GROUP BY ALL)
+  SELECT e.item_id AS quote_id, accession, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN s END AS span_id, CASE WHEN n IS NULL THEN 'UNRESOLVED_QUOTE' WHEN n > 1 THEN 'AMBIGUOUS_QUOTE' END AS code FROM (SELECT DISTINCT item_id FROM eval_items) e LEFT JOIN h ON e.item_id = h.quote_id""")
+def quote_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """Whole evaluation items looked for in the texts of all documents, resolved within each accession that holds one."""
+    texts = table(spark, d, "documents").where("text is not null").select(accession_key(F.col("accession")).alias("accession"), F.col("doc_id").alias("span_id"), "text")
+    return B.quote_scopes(table(spark, d, "eval_items").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote")), texts)
+
+
 AS_OF_SQL = "CAST(CASE WHEN length(trim(as_of)) = 10 THEN trim(as_of) || 'T00:00:00Z' ELSE trim(as_of) END AS TIMESTAMPTZ)"
 
 

@@ -119,3 +119,11 @@ def test_section_segments_list_their_spans(spark, few):
         for a, b in zip(edges, edges[1:]):
             want |= {(g, a, b, x[0]) for x in mine if x[2] <= a and x[3] >= b} or {(g, a, b, None)}
     assert len(got) == len(want) and set(got) == want and any(x[3] is None for x in want)
+
+
+def test_whole_quotes_in_the_texts_of_accessions(spark):
+    q = spark.createDataFrame([("1", "the cat sat down"), ("2", "a dog"), ("3", "never said at all"), ("4", "")], "quote_id string, quote string")
+    s = spark.createDataFrame([("a", 1, "So the cat sat downstairs."), ("a", 2, "the cat sat up"), ("b", 3, "the cat sat down, a dog"), ("b", 4, "the cat sat down"), (None, 5, "a dog")], "accession string, span_id long, text string")
+    want = {("1", "a", 1, 1, None), ("1", "b", 2, None, "AMBIGUOUS_QUOTE"), ("2", "b", 1, 3, None), ("2", None, 1, 5, None), ("3", None, 0, None, "UNRESOLVED_QUOTE"), ("4", None, 0, None, "UNRESOLVED_QUOTE")}
+    got = [tuple(x) for x in B.quote_scopes(q, s).collect()]
+    assert len(got) == len(want) and set(got) == want

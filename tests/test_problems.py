@@ -55,7 +55,7 @@ def test_facts_plan_has_no_python_in_the_hot_path(spark):
         assert "Python" not in plan and "CartesianProduct" not in plan
 
 
-@pytest.mark.parametrize("name", ["segment_narrowest_span", "section_segment_spans", "hybrid_rrf_queries"])
+@pytest.mark.parametrize("name", ["segment_narrowest_span", "section_segment_spans", "hybrid_rrf_queries", "quote_occurrences"])
 def test_whole_jobs_give_the_rows_of_their_sql(spark, con, name):
     got = entry.queries()[name](spark, DATA)
     want = con.execute(entry.oracle_sql()[name])
