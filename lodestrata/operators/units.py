@@ -13,8 +13,6 @@ from lodestrata.plans.tables import cut
 
 #: Links a unit needs before an estimate counts, and how far (in powers of ten) it may lie off.
 LEAST_LINKS, SNAP = 5, 0.02
-#: Rounds of propagation: the longest chain of units between a source and a common unit.
-HOPS = 3
 
 _READ = T.StructType([T.StructField("common_unit", T.StringType()), T.StructField("power", T.IntegerType()), T.StructField("times", T.IntegerType()), T.StructField("over", T.IntegerType()), T.StructField("literal", T.BooleanType())])
 _QUANTITY = T.StructType([T.StructField("common_unit", T.StringType()), T.StructField("common_value", T.StringType()), T.StructField("said", T.StringType())])
@@ -73,22 +71,21 @@ def conversions(declared: DataFrame, estimates: DataFrame, least_links: int = LE
 
     Estimates snap to the conversion a label declares, else to a power of ten, where within
     :data:`SNAP` and without offset. From the labels that are common units themselves they are passed
-    on along the graph of links, :data:`HOPS` hops far. ``how`` is ``literal``,
+    on along the graph of links until no label is left that they reach. ``how`` is ``literal``,
     ``confirmed`` (declared and estimated alike), ``declared`` (no links, or they differ: what the label
     says counts, being exact), or ``estimated`` (the label doesn't read, its links tell).
     """
     sure = estimates.where((F.col("links") >= least_links) & (F.col("spread") <= SNAP) & (F.abs(F.coalesce("offset", F.lit(0.0))) < 0.5)).select("label", "ref", "ratio", "links")
     edges = cut(sure.unionByName(sure.select(F.col("ref").alias("label"), F.col("label").alias("ref"), (-F.col("ratio")).alias("ratio"), "links")))
     known = declared.where("literal").select("label", F.col("common_unit").alias("est_unit"), F.lit(0.0).alias("est"), F.lit(0).cast("bigint").alias("est_links"), F.lit(0).alias("hop"))
-    frontier, seen = known, known
-    for hop in range(1, HOPS + 1):
+    frontier, seen, hop = known, known, 0
+    while not frontier.isEmpty():
+        hop += 1
         there = frontier.select(F.col("label").alias("ref"), "est_unit", "est")
         onward = edges.join(there, "ref").select("label", "est_unit", (F.col("est") + F.col("ratio")).alias("est"), F.col("links").alias("est_links"), F.lit(hop).alias("hop"))
         best = onward.groupBy("label").agg(F.max_by(F.struct("est_unit", "est", "est_links", "hop"), F.struct("est_links", "est_unit")).alias("b")).select("label", "b.*")
         frontier = cut(best.join(seen.select("label"), "label", "left_anti"))
-        seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
-            break
+        seen = cut(seen.unionByName(frontier), seen)
     joined = declared.join(seen.where("hop > 0"), "label", "left")
     says = F.col("power") + F.log10(F.col("times") / F.col("over"))
     agrees = (F.abs(says - F.col("est")) <= SNAP) & (F.col("common_unit") == F.col("est_unit"))

@@ -84,8 +84,7 @@ def version_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dated_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fact, id, quantity, published_at): each statement of a fact with its date."""
     facts = table(spark, sf_dir, "financial_facts")
-    unit = declared_units(facts).where("common_unit is not null")
-    said = in_common_units(facts, unit).where("common_value is not null")
+    said = in_common_units(facts, fact_conversions(facts)).where("common_value is not null")
     said = said.select(fact_key(F.col("common_unit")).alias("fact"), "id", F.col("common_value").alias("quantity"), uuid_key(F.col("document_version_id")).alias("version"))
     return said.join(version_dates(spark, sf_dir), "version").drop("version")
 

@@ -65,3 +65,12 @@ def test_empty_tables(spark):
     declared = declared_units(df)
     assert in_common_units(df, conversions(declared, link_estimates(df, F.col("k"), "unit", "value", "scale", declared))).count() == 0
     assert payload_quantities(spark.createDataFrame([], "raw_value string, value string, unit string, currency string, scale int")).count() == 0
+
+
+def test_estimates_reach_the_end_of_a_long_chain(spark):
+    chain = ["USD", "za", "zb", "zc", "zd", "ze", "zf"]
+    rows = [(f"{j}-{i}", u, str(i * 10 ** (6 - j - n)), 0) for j in range(6) for i in range(1, 9) for n, u in enumerate(chain[j : j + 2])]
+    df = spark.createDataFrame(rows, "k string, unit string, value string, scale int")
+    declared = declared_units(df)
+    got = {r["label"]: (r["common_unit"], r["power"]) for r in conversions(declared, link_estimates(df, F.col("k"), "unit", "value", "scale", declared)).collect()}
+    assert got == {u: ("USD", n) for n, u in enumerate(chain)}
