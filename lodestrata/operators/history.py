@@ -8,17 +8,32 @@ from pyspark.sql import functions as F
 from lodestrata.operators.hot import hot_keys
 from lodestrata.plans.tables import cut
 
-#: Rows of one key up to which one task sorts them; hot keys are cut by month.
+#: Rows of one key up to which one task sorts them; hot keys are cut into ranges of about as many.
 TASK_ROWS = 100_000
 
 
+def ranged(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame | None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Adds __range: for keys in ``hot`` the number of the row's range in ``order``, else null.
+
+    Ranges are cut by count, over the keys and all of ``order``, so that rows of one time part too.
+    Their bounds come from a sample, which decides how even they are, not what is found. They are written, as
+    a row must stay in its range.
+    """
+    if hot is None:
+        return df.withColumn("__range", F.lit(None).cast("int"))
+    full = df.join(hot, keys, "left_semi")
+    n = max(1, -(-full.count() // task_rows))
+    parted = cut(full.repartitionByRange(n, *keys, *order).withColumn("__range", F.spark_partition_id()))
+    return df.join(hot, keys, "left_anti").withColumn("__range", F.lit(None).cast("int")).unionByName(parted)
+
+
 def neighbours(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame | None, before: dict[str, str] | None = None, after: dict[str, str] | None = None) -> DataFrame:
     """Adds to each row columns of the row before and after it in ``order`` within ``keys``.
 
-    ``order[0]`` is a timestamp. ``before`` and ``after`` map new columns to the columns
+    ``df`` comes from :func:`ranged`. ``before`` and ``after`` map new columns to the columns
     whose neighbouring value they get (null where there is no neighbour). The rows of keys
-    in ``hot`` are cut by month: each month is sorted by itself, and the ends of months are
-    linked over one row per key and month.
+    in ``hot`` are sorted range by range, and the ends of ranges are
+    linked over one row per key and range.
     """
     before, after = before or {}, after or {}
     take = list(dict.fromkeys([*before.values(), *after.values()]))
@@ -26,17 +41,26 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return df.withColumns({n: F.lag(c).over(w) for n, c in before.items()} | {n: F.lead(c).over(w) for n, c in after.items()})
-    month = F.when(F.col("__hot"), F.trunc(F.col(order[0]), "month"))
-    df = df.join(hot.withColumn("__hot", F.lit(True)), keys, "left").withColumn("__month", month).drop("__hot")
-    w = Window.partitionBy(*keys, "__month").orderBy(*order)
+    w = Window.partitionBy(*keys, "__range").orderBy(*order)
     inner = df.withColumns({"__p": F.lag(cell).over(w), "__n": F.lead(cell).over(w)})
-    ends = df.where(F.col("__month").isNotNull()).groupBy(*keys, "__month").agg(F.min_by(cell, F.struct(*order)).alias("__first"), F.max_by(cell, F.struct(*order)).alias("__last"))
-    wk = Window.partitionBy(*keys).orderBy("__month")
-    ends = ends.select(*keys, "__month", F.lag("__last").over(wk).alias("__pp"), F.lead("__first").over(wk).alias("__nn"))
-    out = inner.join(ends, [*keys, "__month"], "left")
+    ends = df.where(F.col("__range").isNotNull()).groupBy(*keys, "__range").agg(F.min_by(cell, F.struct(*order)).alias("__first"), F.max_by(cell, F.struct(*order)).alias("__last"))
+    wk = Window.partitionBy(*keys).orderBy("__range")
+    ends = ends.select(*keys, "__range", F.lag("__last").over(wk).alias("__pp"), F.lead("__first").over(wk).alias("__nn"))
+    out = inner.join(ends, [*keys, "__range"], "left")
     cols = {n: F.when(F.col("__p").isNotNull(), F.col("__p")[c]).otherwise(F.col("__pp")[c]) for n, c in before.items()}
     cols |= {n: F.when(F.col("__n").isNotNull(), F.col("__n")[c]).otherwise(F.col("__nn")[c]) for n, c in after.items()}
-    return out.withColumns(cols).drop("__month", "__p", "__n", "__pp", "__nn")
+    return out.withColumns(cols).drop("__p", "__n", "__pp", "__nn")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame | None, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` up to each row; in ``hot`` keys within its range and, over one row per range, before it."""
+    inner = F.sum(value).over(Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    if hot is None:
+        return df.withColumn(name, inner)
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = df.where(F.col("__range").isNotNull()).groupBy(*keys, "__range").agg(F.sum(value).alias("__s"))
+    sums = sums.select(*keys, "__range", F.sum("__s").over(earlier).alias("__b"))
+    return df.withColumn(name, inner).join(sums, [*keys, "__range"], "left").withColumn(name, F.col(name) + F.coalesce("__b", F.lit(0))).drop("__b")
 
 
 def attribute_hash(attributes: list[str]) -> Column:
@@ -60,7 +84,7 @@ def version_history(statements: DataFrame, keys: list[str], at: str, attributes:
     each = narrow.groupBy(*keys, "__at", "__hash").agg(F.min("__id").alias("__id"), *[F.first(a).alias(a) for a in attributes])
     each = cut(each)
     hot = hot_keys(each, keys, task_rows)
-    marked = neighbours(each, keys, ["__at", "__hash"], hot, before={"__before": "__hash"})
+    marked = neighbours(ranged(each, keys, ["__at", "__hash"], hot, task_rows), keys, ["__at", "__hash"], hot, before={"__before": "__hash"})
     starts = marked.where(~F.col("__before").eqNullSafe(F.col("__hash")))
     versions = neighbours(starts, keys, ["__at", "__hash"], hot, after={"__next": "__at"})
     return versions.select(
@@ -69,17 +93,20 @@ def version_history(statements: DataFrame, keys: list[str], at: str, attributes:
     )
 
 
-def snapshots_history(snapshots: DataFrame, keys: list[str], at: str, attributes: list[str]) -> DataFrame:
+def snapshots_history(snapshots: DataFrame, keys: list[str], at: str, attributes: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
     """Islands over all snapshots, with the number of the version and of the snapshots in it.
 
     A running sum over the change marks numbers the versions of a key; each number's minimum
-    time starts it and the next number's ends it. Columns: keys, version (from 1),
-    valid_from, valid_to, snapshots, attributes.
+    time starts it and the next number's ends it. Hot keys are sorted and summed range by range. Columns: keys,
+    version (from 1), valid_from, valid_to, snapshots, attributes.
     """
     narrow = snapshots.select(*keys, F.col(at).alias("__at"), *attributes, attribute_hash(attributes).alias("__hash")).distinct()
-    narrow = narrow.where(F.col("__at").isNotNull())
-    w = Window.partitionBy(*keys).orderBy("__at", "__hash")
-    marked = narrow.withColumn("__new", (~F.lag("__hash").over(w).eqNullSafe(F.col("__hash"))).cast("bigint"))
-    numbered = marked.withColumn("version", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    narrow = cut(narrow.where(F.col("__at").isNotNull()))
+    order = ["__at", "__hash"]
+    hot = hot_keys(narrow, keys, task_rows)
+    marked = neighbours(ranged(narrow, keys, order, hot, task_rows), keys, order, hot, before={"__before": "__hash"})
+    marked = marked.withColumn("__new", (~F.col("__before").eqNullSafe(F.col("__hash"))).cast("bigint"))
+    numbered = running_sum(marked, keys, order, hot, "__new", "version")
     grouped = numbered.groupBy(*keys, "version").agg(F.min("__at").alias("valid_from"), F.count("*").alias("snapshots"), *[F.min(a).alias(a) for a in attributes])
-    return grouped.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(*keys).orderBy("version")))
+    grouped = ranged(grouped, keys, ["version"], hot, task_rows)
+    return neighbours(grouped, keys, ["version"], hot, after={"valid_to": "valid_from"}).drop("__range")
