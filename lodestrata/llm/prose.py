@@ -26,7 +26,7 @@ ENUMERATED = re.compile(r"(?:item|note|exhibit|section|schedule|part|annex|figur
 ENDING = re.compile(r"[.!?。！？।؟…:][\"'”’»)\]]*\s*$")
 CLAUSE = re.compile(r"[^\W\d_]{2,}")
 GARBLE = re.compile("[ÃÂâ][\u0080-¿€ŒœŠšŽžŸƒˆ˜–—‘-„†-•…‰‹›™]|ï»¿|ð[\u009fŸ]|�")
-WIDE = re.compile("[\u3000-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff00-\uffef]")
+WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff00-\uffef]")
 
 # Frequent words of the languages of filings.
 COMMON = frozenset(
@@ -41,15 +41,29 @@ COMMON = frozenset(
 
 #: The statistics, in the order of the vector.
 STATS = (
-    "log_words", "mean_word_length", "symbol_ratio", "digit_ratio", "upper_start_ratio", "ending_lines", "common_words", "words_per_line",
-    "distinct_lines", "distinct_words", "longest_token", "garbled_ratio", "list_share", "table_share", "junk_share",
+    "log_words", "mean_word_length", "symbol_ratio", "odd_symbol_ratio", "digit_ratio", "upper_start_ratio", "ending_lines", "common_words", "words_per_line", "distinct_lines",
+    "distinct_words", "longest_token", "garbled_ratio", "sentence_share", "marked_lines", "numeric_tokens", "cell_marks", "comma_marks",
 )
-#: Kinds and the statistics whose contributions speak for them.
-KIND_STATS = {"list": "list_share", "table": "table_share", "junk": "junk_share"}
-#: The share of a text above which it is no prose; the squared distance above which a document is left out of the final fit.
-MOST, FAR = 0.5, 30.6  # the 99 % point of chi-squared with 15 degrees of freedom
-#: Documents whose shares of list, table and junk are no more than this count as prose of their language at first.
-PURE = 0.1
+#: Kinds of text that is no prose, and the statistics whose parts in the distance speak for them.
+KIND_STATS = {
+    "list": ("marked_lines", "comma_marks", "upper_start_ratio"),
+    "table": ("numeric_tokens", "cell_marks", "digit_ratio"),
+    "junk": ("odd_symbol_ratio", "garbled_ratio", "longest_token", "distinct_words", "distinct_lines", "mean_word_length"),
+}
+#: The squared distance from which a document is an outlier: the 99 % point of chi-squared with 18 degrees of freedom.
+FAR = 34.8
+#: The share of a text that must be list, table or junk for it to be most of the text.
+MOST = 0.5
+#: Part of a statistic's variance over all documents that is added to its variance within prose, so that one
+#: that hardly varies there (odd symbols, garbled letters) doesn't make an outlier of every trace of it.
+RIDGE = 0.02
+#: Weight, in documents, of the prose below among all languages', and of all languages' among each one's.
+PRIOR = 50
+# Mean and standard deviation of each statistic in running text, in the order of STATS.
+RUNNING = np.array([
+    (5.0, 1.0), (1.7, 0.2), (0.04, 0.02), (0.002, 0.004), (0.05, 0.03), (0.15, 0.1), (0.8, 0.25), (0.3, 0.15), (2.8, 0.9), (1.0, 0.05),
+    (0.55, 0.12), (2.7, 0.3), (0.0, 0.003), (0.9, 0.15), (0.02, 0.05), (0.08, 0.05), (0.05, 0.15), (0.05, 0.04),
+])
 
 
 #: A word of two letters or more, or a number, with the signs that may stand around them.
@@ -125,7 +139,7 @@ def line_kind(s: str) -> str:
     if bullet:
         return "prose" if len(words) >= 14 and ENDING.search(s) else "list"
     commas = s.count(",") + s.count(";")
-    if commas >= 7 and len(words) <= 3.2 * (commas + 1) and not any(w.lower() in COMMON for w in words[2:]):
+    if commas >= 7 and len(words) <= 3.2 * (commas + 1) and len(SENTENCE_END.findall(s)) <= 1:
         return "list"
     if len(words) <= 12 and size <= 90 and wide * 2 < size:
         return "short"
@@ -133,19 +147,38 @@ def line_kind(s: str) -> str:
 
 
 def paragraph_kind(lines: list[str]) -> str:
-    """What short lines that follow one another are together."""
+    """What short lines that follow one another are together.
+
+    Whatever the language, most of a narrowly set paragraph stands in sentences of some length, or in
+    long runs of letters where a script has no blanks between words (and some no stops either).
+    """
     if len(lines) < 4:
         return "prose"
     if Counter(lines).most_common(1)[0][1] >= max(4, 0.5 * len(lines)):
         return "junk"
-    ends = sum(len(SENTENCE_END.findall(x)) for x in lines)
-    tokens = " ".join(lines).lower().split()
-    if ends * 8 >= len(lines) and sum(t in COMMON for t in tokens) >= 0.08 * len(tokens):
+    text = "\n".join(lines)
+    if sentence_chars(text) * 2 >= len(text):
         return "prose"
+    if not text.isascii():
+        runs = [t for t in text.split() if not t.isascii()]
+        if sum(len(t) for t in runs if len(t) >= 14) * 2 >= len(text):
+            return "prose"
     return "list"
 
 
-SENTENCE_END = re.compile(r"(?:[^\W_]{2}|[%)])[.!?][\"'”’»)\]]*(?:\s|$)|[。！？।؟]")
+SENTENCE_END = re.compile(r"[.!?](?:(?<=[^\W_]{2}[.!?])|(?<=[%)][.!?]))[\"'”’»)\]]*(?:\s|$)|[。！？।؟]")
+
+
+def sentence_chars(text: str) -> int:
+    """How many characters stand in sentences: what a full stop closes after four blanks, or eight letters without any."""
+    covered = last = 0
+    for m in SENTENCE_END.finditer(text):
+        end = m.end()
+        blanks = text.count(" ", last, end) + text.count("\n", last, end)
+        if blanks >= 4 or (blanks <= 1 and end - last >= 8 and not text[last:end].isascii()):
+            covered += end - last
+        last = end
+    return covered
 
 
 def shares(lines: list[str]) -> dict[str, float]:
@@ -182,6 +215,9 @@ def shares(lines: list[str]) -> dict[str, float]:
                 close()
     close()
     total = sum(size.values())
+    words = " ".join(lines).lower().split()
+    if len(words) > 40 and len(set(words)) < 0.12 * len(words) and not any(map(SENTENCE_END.search, lines)):
+        size = Counter(table=size["table"], junk=total - size["table"])
     return {k: size[k] / total if total else 0.0 for k in ("list", "table", "junk")}
 
 
@@ -194,37 +230,45 @@ def plain_lines(text: str) -> list[str]:
     return [x.strip() for x in text.splitlines()]
 
 
+MARK = re.compile(r"^(?:[*•‣◦▪·●○■□☐☑✓✔➢►>–—-]|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlIVXL]{1,5})[.)])[ \t]+\S", re.M)
+TRAIL = re.compile(r"(?:\.[ ]?\.[ ]?\.|[ ]{3}|…)[. ]*(?:[A-Z]-)?\d+$", re.M)
+NUMBER = re.compile(r"[-+(−–—$€£¥]*\d[\d.,'%)]*|[—–-]")
+GROUPED = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
+
+
+def cell_marks(text: str) -> int:
+    """How many tabs, bars, gaps of two blanks, and semicolons and commas without a blank (not in grouped numbers) there are."""
+    n = text.count("\t") + text.count("|") + text.count("  ")
+    if ";" in text:
+        n += text.count(";") - text.count("; ") - text.count(";\n")
+    tight = text.count(",") - text.count(", ") - text.count(",\n")
+    return n + (tight - len(GROUPED.findall(text)) if tight else 0)
+
+
 def text_statistics(text: str | None) -> list[float] | None:
-    """The vector of STATS of a text; null for null, empty and blank texts."""
+    """The vector of STATS of a text; null for null, empty and blank texts.
+
+    None but ``common_words`` (of a fixed list of some languages) depends on the language.
+    """
     if text is None or not text.strip():
         return None
-    lines = plain_lines(text)
-    filled = [x for x in lines if x]
-    if not filled:
-        filled = lines = [text.strip()]
-    joined = " ".join(filled)
-    raw = joined.encode()
-    tokens = joined.split()
-    n = len(tokens)
-    lowered = joined.lower().split()
-    size = max(1, len(joined) - n + 1)
-    share = shares(lines)
-    repeated = len(set(lowered)) / n
-    if n > 40 and repeated < 0.12 and not SENTENCE_END.search(joined):
-        share = {"list": 0.0, "table": share["table"], "junk": 1 - share["table"]}
+    lines = [x for x in plain_lines(text) if x] or [text.strip()]
+    joined = "\n".join(lines)
+    plain = joined.isascii()
+    raw, tokens, lowered = joined.encode(), joined.split(), joined.lower().split()
+    n, k, length = len(tokens), len(lines), len(joined)
+    size, bytes_ = max(1, length - n + 1), len(raw)
+    count = lambda kept: (bytes_ - len(raw.translate(None, kept))) / size
+    marked = len(MARK.findall(joined)) + (len(TRAIL.findall(joined)) if "..." in joined or ". . ." in joined or "   " in joined or "…" in joined else 0)
     return [
-        math.log(n), size / n, (len(raw) - len(raw.translate(None, LOOSE))) / size, (len(raw) - len(raw.translate(None, DIGITS))) / size,
-        sum(t[0].isupper() for t in tokens) / n, sum(x[-1] in ".!?:。！？।؟\"”»)" for x in filled) / len(filled),
-        sum(t in COMMON for t in lowered) / n, math.log(n / len(filled)), len(set(filled)) / len(filled), min(1.0, repeated * math.log(n + 1) / 6),
-        math.log(max(map(len, tokens))), 0.0 if joined.isascii() else len(GARBLE.findall(joined)) / size,
-        share["list"], share["table"], share["junk"],
+        math.log(n), math.log(size / n), count(LOOSE), count(SYMBOLS), count(DIGITS),
+        sum(map(str.isupper, [t[0] for t in tokens])) / n, sum(x[-1] in ".!?:。！？।؟\"”»)" for x in lines) / k,
+        sum(map(COMMON.__contains__, lowered)) / n, math.log(n / k), len(set(lines)) / k, min(1.0, len(set(lowered)) / n * math.log(n + 1) / 6),
+        math.log(max(map(len, tokens))), 0.0 if plain else len(GARBLE.findall(joined)) / size, sentence_chars(joined) / length,
+        min(1.0, marked / k), sum(NUMBER.fullmatch(t) is not None for t in tokens if not t.isalpha()) / n, math.log1p(cell_marks(joined) / k), math.log1p(joined.count(", ") / n),
     ]
 
 
-#: Documents of prose a language needs for parameters of its own; others share those of all.
-LEAST_DOCUMENTS = 50
-#: Standard deviations below which a statistic is not taken as more regular than this.
-LEAST_SD = np.array([0.3, 0.3, 0.01, 0.02, 0.05, 0.15, 0.05, 0.3, 0.1, 0.05, 0.15, 0.01, 0.05, 0.05, 0.05])
 # Three-letter language codes and the two-letter ones.
 LONG_CODES = {"eng": "en", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "por": "pt", "ita": "it", "nld": "nl", "dut": "nl", "jpn": "ja", "zho": "zh", "chi": "zh"}
 
@@ -250,20 +294,26 @@ def document_statistics(documents: DataFrame, id_col: str, text_col: str, lang_c
 
 
 class Prose:
-    """Mean and inverse covariance of each language's prose, and of all languages' together."""
+    """Location and inverse scatter of each language's prose, drawn towards all languages' together.
 
-    def __init__(self, sums: dict[str, tuple[float, np.ndarray, np.ndarray]]):
+    ``sums`` has the count, sums and products of each language's documents; ``spread`` is the variance of
+    each statistic over all documents. A language with n documents weighs n against :data:`PRIOR` of all
+    languages, and all of them together n against PRIOR of :data:`RUNNING`, so that parameters change smoothly with
+    the number of documents, from what they are without any.
+    """
+
+    def __init__(self, sums: dict[str, tuple[float, np.ndarray, np.ndarray]], spread: np.ndarray):
         k = len(STATS)
-        everything = (sum(n for n, _, _ in sums.values()), sum((s for _, s, _ in sums.values()), np.zeros(k)), sum((q for _, _, q in sums.values()), np.zeros((k, k))))
-        self.common = self._fit(*everything) if everything[0] else (np.zeros(k), np.eye(k))
-        self.of = {g: self._fit(*x) for g, x in sums.items() if x[0] >= LEAST_DOCUMENTS}
+        n = sum(x[0] for x in sums.values())
+        total, squares = sum((x[1] for x in sums.values()), np.zeros(k)), sum((x[2] for x in sums.values()), np.zeros((k, k)))
+        usual = RUNNING[:, 0]
+        mean, second = (total + PRIOR * usual) / (n + PRIOR), (squares + PRIOR * (np.outer(usual, usual) + np.diag(RUNNING[:, 1] ** 2))) / (n + PRIOR)
+        self.ridge = np.diag(RIDGE * spread + 1e-9)
+        self.common = self._fit(mean, second)
+        self.of = {g: self._fit((s + PRIOR * mean) / (m + PRIOR), (q + PRIOR * second) / (m + PRIOR)) for g, (m, s, q) in sums.items()}
 
-    @staticmethod
-    def _fit(n: float, total: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mean = total / n
-        covariance = squares / n - np.outer(mean, mean)
-        lacking = np.maximum(LEAST_SD**2 - np.diag(covariance), 0)
-        return mean, np.linalg.inv(covariance + np.diag(lacking) + np.diag(LEAST_SD**2) * 1e-3)
+    def _fit(self, mean: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return mean, np.linalg.inv(second - np.outer(mean, mean) + self.ridge)
 
     def contributions(self, languages: list[str], x: np.ndarray) -> np.ndarray:
         """Each statistic's part in the squared Mahalanobis distance of each row."""
@@ -301,15 +351,41 @@ def _sums(stats: DataFrame, keep) -> dict[str, tuple[float, np.ndarray, np.ndarr
     return {g: (v[0], v[1 : 1 + k], v[1 + k :].reshape(k, k)) for g, v in found.items()}
 
 
+def _quartiles(stats: DataFrame) -> dict[str, tuple[float, np.ndarray]]:
+    """(documents, 3 x statistics quartiles) of each language, at most 677 x 55 numbers."""
+    of = [F.percentile_approx(F.col("stats")[i], [0.25, 0.5, 0.75], 2000).alias(f"q{i}") for i in range(len(STATS))]
+    rows = stats.groupBy("language").agg(F.count("*").alias("n"), *of).collect()
+    return {r["language"]: (r["n"], np.array([r[f"q{i}"] for i in range(len(STATS))]).T) for r in rows}
+
+
 def fit_prose(stats: DataFrame) -> Prose:
-    """Robust parameters of prose from all documents, in two steps.
+    """Robust parameters of prose from all documents of each language, in three steps.
 
-    First come the documents nearly free of lists, tables and junk; those within the
-    99 % point of their language's parameters then give the final ones, so that outliers and wrong
-    language labels don't widen what counts as usual.
+    Medians and quartile distances, which a quarter of documents that are none can't move far,
+    start; the documents within :data:`FAR` of them give a mean and covariance, and those
+    within FAR of these the final ones. No judgement on single texts enters, so
+    outliers and wrong language labels are left out by their distance alone.
     """
-    first = Prose(_sums(stats, lambda g, x: x[:, -3:].sum(axis=1) <= PURE))
-    return Prose(_sums(stats, lambda g, x: (x[:, -3:].sum(axis=1) <= PURE) & (first.contributions(g, x).sum(axis=1) <= FAR)))
+    every = _sums(stats, lambda g, x: np.ones(len(x), dtype=bool))
+    n = sum(v[0] for v in every.values())
+    mean = sum((v[1] for v in every.values()), np.zeros(len(STATS))) / max(n, 1)
+    spread = np.maximum(sum((np.diag(v[2]) for v in every.values()), np.zeros(len(STATS))) / max(n, 1) - mean**2, 0)
+    quartiles = _quartiles(stats)
+    usual = np.stack([RUNNING[:, 0] + z * RUNNING[:, 1] for z in (-0.6745, 0, 0.6745)])
+    pooled = sum((m * q for m, q in quartiles.values()), PRIOR * usual) / (n + PRIOR)
+    start = {g: (m * q + PRIOR * pooled) / (m + PRIOR) for g, (m, q) in quartiles.items()}
+    ridge = RIDGE * spread + 1e-9
+
+    def near(languages: list[str], x: np.ndarray) -> np.ndarray:
+        names, out = np.array(languages), np.zeros(len(x), dtype=bool)
+        for g in set(languages):
+            low, middle, high = start.get(g, pooled)
+            scale = ((high - low) / 1.349) ** 2 + ridge
+            out[names == g] = (((x[names == g] - middle) ** 2) / scale).sum(axis=1) <= FAR
+        return out
+
+    first = Prose(_sums(stats, near), spread)
+    return Prose(_sums(stats, lambda g, x: first.contributions(g, x).sum(axis=1) <= FAR), spread)
 
 
 def outlierness(stats: DataFrame, prose: Prose) -> DataFrame:
@@ -328,13 +404,30 @@ def outlierness(stats: DataFrame, prose: Prose) -> DataFrame:
     return stats.mapInPandas(run, columns)
 
 
-def no_prose(distances: DataFrame) -> DataFrame:
-    """(id, kind): documents most of whose text is in lists, tables or junk.
+def named_outliers(parts: np.ndarray) -> np.ndarray:
+    """Kind of each row of parts that lies beyond FAR, else null: the one whose statistics have the greatest part in the distance."""
+    speak = np.stack([parts[:, [STATS.index(s) for s in of]].sum(axis=1) for of in KIND_STATS.values()], axis=1)
+    return np.where(parts.sum(axis=1) > FAR, np.array(list(KIND_STATS), dtype=object)[speak.argmax(axis=1)], None)
+
+
+def no_prose(documents: DataFrame, id_col: str, text_col: str, lang_col: str, prose: Prose) -> DataFrame:
+    """(id, kind): documents most of whose text is a list, a table or junk.
 
-    The shares alone decide, on any corpus: prose far from its language's usual statistics stays
-    prose, and a table stays one where there is no prose to be far from. The kind is the one with
-    the greatest share, of equal ones the first of list, table, junk.
+    A document beyond :data:`FAR` from its language's prose is an outlier; the kind is the one whose
+    statistics have the greatest part in its distance, by sign. As prose can be unusual too (short, in capitals, with
+    a table in it), an exact check of outliers follows: the lines that are entries, rows or noise must
+    make up more than half of the text. Null and blank texts give no row; repeated rows one.
     """
-    named = F.array(*[F.struct(F.col(c).alias("share"), F.lit(-i).alias("order"), F.lit(k).alias("kind")) for i, (k, c) in enumerate(KIND_STATS.items())])
-    all_shares = sum((F.col(c) for c in KIND_STATS.values()), F.lit(0.0))
-    return distances.where(all_shares > MOST).select("id", F.array_max(named)["kind"].alias("kind"))
+    kind = documents.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            known = [(i, t, language(g), s) for i, t, g in zip(b["id"], b["text"], b["lang"]) if (s := text_statistics(t)) is not None]
+            if not known:
+                continue
+            kinds = named_outliers(prose.contributions([k[2] for k in known], np.array([k[3] for k in known])))
+            found = [(i, k) for (i, t, _, _), k in zip(known, kinds) if k is not None and sum(shares(plain_lines(t)).values()) > MOST]
+            yield pd.DataFrame(found, columns=["id", "kind"])
+
+    some = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull())
+    return some.mapInPandas(run, f"id {kind}, kind string")

@@ -10,7 +10,7 @@ from lodestrata.llm import leakage, pieces, prose, survivors, tokens
 from lodestrata.operators.units import in_common_units
 from lodestrata.plans.problems import fact_conversions, fact_key
 from lodestrata.plans.problems_sql import FACT, FACTS, LABELS
-from lodestrata.plans.tables import cut, table
+from lodestrata.plans.tables import cut, remove, table
 
 #: Size of a piece and what consecutive pieces share, in characters.
 LIMIT, OVERLAP = 1000, 100
@@ -59,18 +59,21 @@ def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
 
 
-def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = cut(prose.document_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"))
-    return prose.outlierness(stats, prose.fit_prose(stats))
+def prose_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(prose.document_statistics(table(spark, sf_dir, "documents"), "doc_id", "text", "lang"))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.no_prose(distances(spark, sf_dir)).select(F.col("id").alias("doc_id"), "kind").distinct()
+    stats = prose_statistics(spark, sf_dir)
+    fitted = prose.fit_prose(stats)
+    remove(stats)
+    return prose.no_prose(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", fitted).select(F.col("id").alias("doc_id"), "kind").distinct()
 
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All statistics of each document, its distance from its language's prose, and each one's part in it."""
-    return distances(spark, sf_dir).withColumnRenamed("id", "doc_id")
+    stats = prose_statistics(spark, sf_dir)
+    return prose.outlierness(stats, prose.fit_prose(stats)).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict:

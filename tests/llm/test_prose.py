@@ -34,11 +34,12 @@ def test_kinds_and_layouts_of_prose(spark):
             rows.append((2000 + len(want), t, r.choice(["en", "de", None, "x!"])))
             want[rows[-1][0]] = kind
     rows += [(3000, None, "en"), (3001, "", "en"), (3002, " \n ", "en"), (3003, prose(r) + "\n" + OTHERS["table"][0][:90], "en"), rows[-1]]
-    stats = document_statistics(spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, lang string, kind string"), "doc_id", "text", "lang").cache()
-    distances = outlierness(stats, fit_prose(stats))
-    got = {x["id"]: x["kind"] for x in no_prose(distances).collect()}
+    documents = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, lang string, kind string")
+    stats = document_statistics(documents, "doc_id", "text", "lang").cache()
+    fitted = fit_prose(stats)
+    got = {x["id"]: x["kind"] for x in no_prose(documents, "doc_id", "text", "lang", fitted).collect()}
     assert got == want
-    parts = distances.first()
+    parts = outlierness(stats, fitted).first()
     assert sum(parts[f"{s}_part"] for s in STATS) == pytest.approx(parts["distance"] ** 2)
     assert len(stats.columns) == 3
 
@@ -50,17 +51,52 @@ def test_statistics_of_odd_texts():
     assert [language(x) for x in ("en-US", "ENG", None, "", "klingon", "pt")] == ["en", "en", "und", "und", "und", "pt"]
 
 
+def found(spark, rows):
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    return {tuple(x) for x in no_prose(documents, "doc_id", "text", "lang", fit_prose(document_statistics(documents, "doc_id", "text", "lang"))).collect()}
+
+
 def test_empty_table(spark):
-    stats = document_statistics(spark.createDataFrame([], "doc_id long, text string, lang string"), "doc_id", "text", "lang")
-    assert no_prose(outlierness(stats, fit_prose(stats))).count() == 0
+    assert found(spark, []) == set()
 
 
 def test_tables_count_without_any_prose_to_be_far_from(spark):
     rows = [(i, "\n".join(f"{i} {j} 7" for j in range(3)), "en") for i in range(5)]
-    stats = document_statistics(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
-    distances = outlierness(stats, fit_prose(stats)).cache()
-    assert distances.where("distance * distance > 30.6").count() == 0
-    assert {tuple(x) for x in no_prose(distances).collect()} == {(i, "table") for i in range(5)}
+    assert found(spark, rows) == {(i, "table") for i in range(5)}
+
+
+ABROAD = {
+    "pl": "Spółka odnotowała wzrost przychodów o dwanaście procent w drugim kwartale. Zarząd zatwierdził plan, który obejmuje dwieście etatów w regionie. Koszty energii były niższe niż rok wcześniej, głównie dzięki łagodnej zimie. Nie oczekujemy istotnych zmian w najbliższych miesiącach.",
+    "ru": "Компания сообщила о росте выручки на двенадцать процентов во втором квартале. Совет директоров утвердил план, который затрагивает двести рабочих мест. Расходы на энергию были ниже, чем годом ранее, благодаря мягкой зиме. Мы не ожидаем существенных изменений.",
+    "fi": "Yhtiön liikevaihto kasvoi kaksitoista prosenttia toisella neljänneksellä. Hallitus hyväksyi suunnitelman, joka koskee kahtasataa työpaikkaa alueella. Energiakustannukset olivat pienemmät kuin vuotta aiemmin. Luottosopimusta jatkettiin ilman ehtojen muutoksia.",
+    "ja": "当社の第二四半期の売上高は前年同期比で十二パーセント増加しました。取締役会は地域の二百の職に影響する計画を承認しました。エネルギー費用は暖冬のため前年を下回りました。今後数か月に大きな変化は見込んでいません。",
+    "th": "บริษัทรายงานรายได้เพิ่มขึ้นร้อยละสิบสองในไตรมาสที่สอง คณะกรรมการอนุมัติแผนที่มีผลต่อสองร้อยตำแหน่งในภูมิภาค ต้นทุนพลังงานต่ำกว่าปีก่อนเนื่องจากฤดูหนาวที่อบอุ่น",
+}
+
+
+def test_prose_of_any_language_in_any_layout_is_no_case(spark):
+    import re
+    import textwrap
+
+    r = random.Random(4)
+    rows = [(i, prose(r), "en") for i in range(200)]
+    for lang, text in ABROAD.items():
+        lines = lambda w: "\n".join([text[i : i + w] for i in range(0, len(text), w)] if lang == "ja" else textwrap.wrap(text, w))  # noqa: B023, E731
+        rows += [(1000 + len(rows), t, g) for g in (lang, "en", None) for t in (lines(40), lines(60), text, "\n".join(re.findall("[^.。]+[.。]?", text)))]
+    assert found(spark, rows) == set()
+
+
+def test_distance_decides_and_names(spark):
+    """Without the distance there is no outlier, so no row; the kind is that of the greatest part."""
+    from lodestrata.llm import prose as module
+
+    parts = np.zeros((4, len(STATS)))
+    parts[0, STATS.index("cell_marks")], parts[1, STATS.index("marked_lines")], parts[2, STATS.index("odd_symbol_ratio")] = 90, 90, 90
+    parts[3, STATS.index("cell_marks")] = module.FAR - 1
+    assert list(module.named_outliers(parts)) == ["table", "list", "junk", None]
+    parts[0, STATS.index("numeric_tokens")] = -80  # parts count by their sign
+    parts[0, STATS.index("comma_marks")] = 40
+    assert module.named_outliers(parts)[0] == "list"
 
 
 def test_long_entries_are_entries():
