@@ -38,3 +38,19 @@ def test_tables_with_nulls_repeats_and_clashing_names(spark):
     got = sorted(tuple(r) for r in passage_pieces(df, "sid", "body", "base", 100, 10).collect())
     assert [g[:5] for g in got] == [("a", 0, 5, 56, "line"), ("a", 1, 46, 136, "end"), ("d", 0, 0, 5, "end")]
     assert passage_boundaries(df.limit(0), "sid", "body", 100).count() == 0
+
+
+def test_boundary_arrays_match_patterns():
+    import re
+
+    from lodestrata.llm.pieces import Offsets
+
+    brk, blank = r"(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ])", r"[^\S\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+    r = random.Random(7)
+    for _ in range(500):
+        text = "".join(r.choice(["a", "é", ". ", ".", "\n", "\r\n", "\r", "\n \n", '." ', ") ", " ", " ", "😀", "!\n"]) for _ in range(r.randint(0, 40)))
+        marks = {k: v.tolist() for k, v in Offsets(text).marks.items()}
+        assert marks["paragraph"] == [m.end() for m in re.finditer(f"{brk}(?!(?<=\r)\n)(?:{blank}*{brk}(?!(?<=\r)\n))+", text)]
+        assert marks["line"] == [m.end() for m in re.finditer(brk, text)]
+        assert marks["word"] == [m.end() for m in re.finditer(r"\s+", text)]
+        assert marks["sentence"] == [m.end() for m in re.finditer(r"\s+", text) if re.search(r"[.!?]['\"’”»)\]}›]*$", text[: m.start()])]
