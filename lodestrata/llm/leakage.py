@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestrata.plans.tables import cut
+
 #: Length of a shingle in bytes of the letters-and-digits stream.
 SHINGLE = 16
 #: Evaluation items looked for in one pass over the corpus.
 BLOCK_ITEMS = 4096
-#: Bits of the filter that most shingles of the corpus fail before the exact look-up.
-FILTER_BITS = 22
+#: Bits of the filter for each shingle looked for; most shingles of the corpus fail it before the exact look-up.
+FILTER_LOAD = 16
 #: Bytes of streams that are hashed at once.
 CHUNK = 1 << 20
 
@@ -151,8 +153,9 @@ class Lookup:
     """Positions of a chunk's shingles in a sorted array of hashes; others cost one bit test."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes, self.shift = hashes, np.uint64(64 - FILTER_BITS)
-        self.bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+        width = max(16, (max(1, len(hashes)) * FILTER_LOAD - 1).bit_length())
+        self.hashes, self.shift = hashes, np.uint64(64 - width)
+        self.bits = np.zeros(1 << width, dtype=bool)
         self.bits[hashes >> self.shift] = True
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +181,25 @@ def _chunks(streams: list[bytes]) -> Iterator[tuple[int, bytes, np.ndarray]]:
             first, size, part = i + 1, 0, []
 
 
-def leaks_in(streams: list[bytes], lookup: Lookup, chosen: dict[int, list[Window]], short: list[tuple[int, bytes]]) -> set[tuple[int, int]]:
+def stretches(streams: list[bytes], lookup: Lookup, least: int) -> list[tuple[int, bytes]]:
+    """(text, part): the maximal parts of each stream all of whose shingles are looked for, of at least ``least`` bytes.
+
+    A window that stands in a text lies wholly within such a part.
+    """
+    found = []
+    for first, joined, starts in _chunks(streams):
+        at, _ = lookup(shingle_hashes(np.frombuffer(joined, dtype=np.uint8)))
+        if not len(at):
+            continue
+        breaks = np.flatnonzero(np.diff(at) > 1)
+        begin, end = at[np.concatenate([[0], breaks + 1])], at[np.concatenate([breaks, [len(at) - 1]])] + SHINGLE
+        long = end - begin >= least
+        docs = np.searchsorted(starts, begin[long], side="right") - 1 + first
+        found += [(d, joined[a:b]) for d, a, b in zip(docs.tolist(), begin[long].tolist(), end[long].tolist())]
+    return found
+
+
+def leaks_in(streams: list[bytes], lookup: Lookup, chosen: dict[int, list[Window]]) -> set[tuple[int, int]]:
     """(text, item) pairs: at each hit the whole window is compared at the one place it can lie."""
     found: set[tuple[int, int]] = set()
     for first, joined, starts in _chunks(streams):
@@ -188,36 +209,51 @@ def leaks_in(streams: list[bytes], lookup: Lookup, chosen: dict[int, list[Window
             for win in chosen[int(lookup.hashes[w])]:
                 if (d, win.item) not in found and p >= win.offset and joined.startswith(win.text, p - win.offset):
                     found.add((d, win.item))
-    for k, text in short:
-        found.update((d, k) for d, s in enumerate(streams) if text in s)
     return found
 
 
 def _block_leaks(documents: DataFrame, doc_id: str, text: str, block: Block) -> DataFrame:
     kind = documents.schema[doc_id].dataType.simpleString()
-    texts = documents.select(doc_id, text).where(F.col(text).isNotNull())
+    texts = documents.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    least = min((len(t) for found in block.windows.values() for _, t in found), default=SHINGLE)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(block.hashes)
+        for b in batches:
+            streams = [reader_stream(t) for t in b.column(1).to_pylist()]
+            rows = [(d, x, None) for d, x in stretches(streams, lookup, least)]
+            rows += [(d, None, k) for k, x in block.short for d, s in enumerate(streams) if x in s]
+            ids = b.column(0).take(pa.array([r[0] for r in rows], type=pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in rows], type=pa.binary()), pa.array([r[2] for r in rows], type=pa.int32())], names=["doc", "part", "short"])
+
+    parts = cut(texts.mapInArrow(part, f"doc {kind}, part binary, short int"))
+    long = parts.where("part is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, totals = Lookup(block.hashes), np.zeros(len(block.hashes), dtype=np.int64)
         for b in batches:
-            for _, joined, _ in _chunks([reader_stream(t) for t in b.column(0).to_pylist()]):
+            for _, joined, _ in _chunks(b.column(0).to_pylist()):
                 totals += np.bincount(lookup(shingle_hashes(np.frombuffer(joined, dtype=np.uint8)))[1], minlength=len(totals))
         seen = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(totals[seen])], names=["shingle", "n"])
 
     counts = np.zeros(len(block.hashes), dtype=np.int64)
-    for row in texts.select(text).mapInArrow(count, "shingle int, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in long.select("part").mapInArrow(count, "shingle int, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[row["shingle"]] = row["n"]
     chosen = prefixes(block, counts)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(np.array(sorted(chosen), dtype=np.uint64))
         for b in batches:
-            found = sorted(leaks_in([reader_stream(t) for t in b.column(1).to_pylist()], lookup, chosen, block.short))
+            found = sorted(leaks_in(b.column(1).to_pylist(), lookup, chosen))
             ids = b.column(0).take(pa.array([d for d, _ in found], type=pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([block.names[k] for _, k in found], type=pa.string())], names=[doc_id, "item_id"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array([block.names[k] for _, k in found], type=pa.string())], names=["doc", "item_id"])
 
-    return texts.mapInArrow(look, f"{doc_id} {kind}, item_id string").distinct()
+    found = long.select("doc", "part").mapInArrow(look, f"doc {kind}, item_id string")
+    if block.short:
+        names = F.array(*[F.lit(x) for x in block.names])
+        found = found.unionByName(parts.where("short is not null").select("doc", F.get(names, F.col("short")).alias("item_id")))
+    return found.distinct().withColumnRenamed("doc", doc_id)
 
 
 def leaked_items(spark: SparkSession, documents: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, words: int = 12) -> DataFrame:
@@ -225,12 +261,17 @@ def leaked_items(spark: SparkSession, documents: DataFrame, doc_id: str, text: s
 
     Words stand between white space in the item; they are compared by the letters and
     digits a reader sees, wherever white space lies in the corpus text. A set join with
-    prefix filter: shingles of SHINGLE bytes of that stream, ordered by how often the whole
-    corpus has them; each run of ``words`` words is looked up by its rarest one, and at each
-    hit the run is compared in full at the place the shingle's offset fixes.
+    prefix filter over shingles of SHINGLE bytes of that stream. One pass over all texts keeps
+    the parts whose shingles all belong to items and which are as long as the shortest run of
+    ``words`` words. Shingles are ordered by how often these parts have them; each run is
+    looked up by its rarest one, and at each hit compared in full at the place the
+    shingle's offset fixes.
+
+    As blanks may be lost or set anew in the text, the edges of words there don't count: a
+    text with "start of the ..." holds a run that begins "art of the ...".
 
     Items are taken in blocks of BLOCK_ITEMS, each sent to the workers and run against all
-    rows; the corpus itself isn't shuffled. Items with fewer words, or null, never match;
+    rows; the corpus itself isn't shuffled. The parts kept are written (see ``plans.tables.cut``). Items with fewer words, or null, never match;
     null and empty texts hold nothing; repeated rows give one row.
     """
     items = items.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null").distinct()

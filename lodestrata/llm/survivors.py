@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def late_first(c: Column) -> Column:
-    """Text whose order is the reverse of ``c``'s, for hexadecimal ids."""
-    return F.translate(c, "0123456789abcdef", "fedcba9876543210")
+    """Text whose order is the reverse of ``c``'s, for hexadecimal ids in small letters or capitals."""
+    return F.translate(F.lower(c), "0123456789abcdef", "fedcba9876543210")
 
 
 def survivors(rows: DataFrame, keys: list[str], id_col: str, rank: list[Column], fields: list[str]) -> DataFrame:
