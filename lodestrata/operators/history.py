@@ -5,12 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.operators.hot import hot_keys
+from lodestrata.operators.hot import TASK_ROWS, hot_keys
 from lodestrata.plans.tables import cut
 
-#: Rows of one key up to which one task sorts them; hot keys are cut into ranges of about as many.
-TASK_ROWS = 100_000
-
 
 def ranged(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame | None, task_rows: int = TASK_ROWS) -> DataFrame:
     """Adds __range: for keys in ``hot`` the number of the row's range in ``order``, else null.

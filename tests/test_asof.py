@@ -34,16 +34,25 @@ def data(seed, n):
     return events + events[:5], versions + versions[:3]
 
 
-@pytest.mark.parametrize("most", [64, 2])
-def test_matches_brute_force_on_both_paths(spark, most):
+@pytest.mark.parametrize("most, task_rows", [(64, 100_000), (64, 10), (2, 100_000), (2, 10)])
+def test_matches_brute_force_on_all_paths(spark, most, task_rows):
     """Gaps, overlaps, ties, repeated rows, nulls; extra columns may clash with the event's."""
     for seed in range(2):
         events, versions = data(seed, 40)
-        got = asof_attributes(spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS), "key", "at", "start", "end", ["rank", "tie", "a", "b"], ["a", "b"], most)
+        got = asof_attributes(spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS), "key", "at", "start", "end", ["rank", "tie", "a", "b"], ["a", "b"], most, task_rows)
         expect = {x for x in brute(events, [(*v[:4], (v[4], v[5] is not None, v[5] or "", v[6]), *v[5:]) for v in versions])}
         assert {tuple(x) for x in got.collect()} == expect
 
 
+@pytest.mark.parametrize("most", [64, 0])
+def test_times_far_from_now_count_alike(spark, most):
+    far = [datetime(1601, 5, 1), datetime(2400, 1, 1), datetime(9000, 1, 1)]
+    versions = [("x", far[0], far[1], far[0], 1, "old", None, "c"), ("x", far[1], None, far[1], 1, "new", None, "c")]
+    events = [("e1", "x", datetime(1700, 1, 1)), ("e2", "x", datetime(2399, 12, 31)), ("e3", "x", far[1]), ("e4", "x", far[2]), ("e5", "x", datetime(1500, 1, 1))]
+    got = asof_attributes(spark.createDataFrame(events, EVENTS), spark.createDataFrame(versions, VERSIONS), "key", "at", "start", "end", ["rank", "tie"], ["a"], most)
+    assert {(r["id"], r["a"]) for r in got.collect()} == {("e1", "old"), ("e2", "old"), ("e3", "new"), ("e4", "new")}
+
+
 def test_attributes_may_bear_names_of_event_columns(spark):
     got = asof_attributes(spark.createDataFrame([("e", "x", T0)], EVENTS), spark.createDataFrame([("x", T0, None, T0, 1, "p", None, "c")], VERSIONS), "key", "at", "start", "end", ["rank", "tie"], ["b"])
     assert got.collect() == [("e", "x", T0, None)]
