@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from decimal import Context, Decimal, InvalidOperation
+from decimal import ROUND_HALF_UP, Context, Decimal, InvalidOperation
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -111,7 +111,13 @@ def read_unit(label: str | None) -> Unit | None:
 DATE_TAIL = re.compile(r"\s+(?:as of|as at|at|on|per|zum|au)\s+\w+\.?\s+\d{1,2},?\s+\d{4}\s*\Z|\s+(?:as of|as at|on)\s+\d{4}-\d\d-\d\d\s*\Z", re.I)
 HEDGE = re.compile(r"^(?:approximately|approx\.?|about|around|roughly|nearly|almost|over|under|more than|less than|up to|at least|some|circa|ca\.|c\.|~|≈|>|<|約|rund|etwa|environ)\s*", re.I)
 QUANTITY = re.compile("^(?P<a>[^\\d]*?)(?P<n>\\d[\\d.,' \u00a0\u2009\u202f]*\\d|\\d)(?P<b>[^\\d]*)$")
-EXACT = Context(prec=120)
+#: Decimal places behind the last digit to which a quotient that doesn't end is rounded.
+PLACES = 15
+
+
+def exact(*texts: str) -> Context:
+    """A context in which numbers of these digits lose none when they are read, multiplied or shifted."""
+    return Context(prec=sum(map(len, texts)) + 40, Emax=999999, Emin=-999999)
 
 
 def read_number(text: str, comma_is_point: bool) -> Decimal | None:
@@ -124,7 +130,7 @@ def read_number(text: str, comma_is_point: bool) -> Decimal | None:
     else:
         t = t.replace(",", "")
     try:
-        return EXACT.create_decimal(t)
+        return exact(t).create_decimal(t)
     except InvalidOperation:
         return None
 
@@ -136,11 +142,6 @@ def plain(d: Decimal) -> str:
     return "0" if t in ("-0", "", "0") else t
 
 
-@lru_cache(maxsize=65536)
-def read_phrase(phrase: str) -> Unit | None:
-    return read_unit(phrase)
-
-
 def read_raw(raw: str | None) -> tuple[Decimal, str] | None:
     """The signed number of a quantity in words and the words of its unit, else null."""
     if raw is None or not raw.strip():
@@ -169,40 +170,76 @@ def read_raw(raw: str | None) -> tuple[Decimal, str] | None:
 
 
 def to_common(number: Decimal, unit: Unit, scale: int = 0) -> str:
-    value = EXACT.multiply(number, EXACT.scaleb(Decimal(unit.times), unit.power + scale))
-    return plain(EXACT.divide(value, Decimal(unit.over)) if unit.over != 1 else value)
+    context = exact(str(number), str(unit.times))
+    value = context.multiply(number, context.scaleb(Decimal(unit.times), unit.power + scale))
+    if unit.over != 1:
+        last = number.as_tuple().exponent + unit.power + scale - PLACES
+        value = context.divide(value, Decimal(unit.over)).quantize(Decimal(1).scaleb(last, context), rounding=ROUND_HALF_UP, context=context)
+    return plain(value)
 
 
-def quantity(raw: str | None, value: str | None, unit: str | None, currency: str | None, scale: int | None) -> tuple[str, str, str] | None:
-    """(common unit, common value, words of the raw unit) of one record, or null.
+CONTEXT = re.compile(r"(.*) \[([A-Z]{3})\]\Z", re.S)
+
+
+@lru_cache(maxsize=65536)
+def read_label(label: str | None) -> Unit | None:
+    """:func:`read_unit` of a label that may name in brackets the currency its sign stands for."""
+    if label is None or not (m := CONTEXT.match(label)):
+        return read_unit(label)
+    u = read_unit(m[1])
+    return u and u._replace(common=m[2] + u.common[3:])
+
 
-    The raw text is right where it states number and unit; a sign that several currencies
-    share is settled by the unit or currency column. Otherwise value x 10^scale in the unit
-    column (or, without one, the currency column) counts, a null scale being 0.
+class Parts(NamedTuple):
+    """One record told twice: in the words of its raw text, and in its columns. Numbers are plain text, null where there is none."""
+
+    raw_number: str | None
+    raw_label: str | None
+    number: str | None
+    label: str | None
+
+
+def payload_parts(raw: str | None, value: str | None, unit: str | None, currency: str | None) -> Parts:
+    """Numbers and unit labels of one record, from its raw text and from its columns.
+
+    A sign that several currencies share, and plain cents, get the currency of the unit or currency
+    column in brackets. A raw text without words of a unit gives its number to the columns if they have none.
     """
-    named = read_unit(unit) or read_unit(currency)
+    label = unit if read_unit(unit) or not read_unit(currency) else currency
     said = read_raw(raw)
+    raw_number = raw_label = number = None
     if said and said[1]:
-        if u := read_phrase(said[1]):
-            base = (read_unit(unit), read_unit(currency))
+        raw_number, raw_label = plain(said[0]), said[1]
+        if u := read_unit(said[1]):
+            others = [o.common[:3] for o in (read_unit(unit), read_unit(currency)) if o]
             if u.sign in SHARED_SIGNS:
-                for other in base:
-                    if other and other.common[:3] in SHARED_SIGNS[u.sign]:
-                        u = u._replace(common=other.common[:3] + u.common[3:])
-                        break
-            elif u.common == "USD" and not u.sign and u.power % 3 and (other := read_unit(currency)) and len(other.common) == 3:
-                u = u._replace(common=other.common)  # plain cents are those of the currency column
-            return u.common, to_common(said[0], u), said[1]
-    number = None
+                known = next((o for o in others if o in SHARED_SIGNS[u.sign]), None)
+            else:
+                cents = u.common == "USD" and not u.sign and u.power % 3 and (o := read_unit(currency)) and len(o.common) == 3
+                known = o.common if cents else None
+            if known and known != u.common[:3]:
+                raw_label = f"{raw_label} [{known}]"
     if value is not None and value.strip():
         v = value.strip().replace("−", "-")
         sign = -1 if v[:1] == "-" or re.fullmatch(r"\(.*\)", v) else 1
         try:
-            number = sign * EXACT.create_decimal(v.strip("()+-").replace(",", "").strip())
+            d = sign * exact(v).create_decimal(v.strip("()+-").replace(",", "").strip())
+            number = plain(d) if d.is_finite() else None
         except InvalidOperation:
-            number = None
+            pass
     if number is None and said and not said[1]:
-        number = said[0]
-    if number is None or not number.is_finite() or named is None:
-        return None
-    return named.common, to_common(number, named, scale or 0), ""
+        number = plain(said[0])
+    return Parts(raw_number, raw_label, number, label)
+
+
+def quantity(raw: str | None, value: str | None, unit: str | None, currency: str | None, scale: int | None) -> tuple[str, str, str] | None:
+    """(common unit, common value, raw unit label) of one record as its labels read, or null.
+
+    The raw text is right where it states number and unit; otherwise value x 10^scale in the
+    unit column (or, without one, the currency column) counts, a null scale being 0.
+    """
+    p = payload_parts(raw, value, unit, currency)
+    if p.raw_label and (u := read_label(p.raw_label)):
+        return u.common, to_common(Decimal(p.raw_number), u), p.raw_label
+    u = read_unit(p.label)
+    return None if p.number is None or u is None else (u.common, to_common(Decimal(p.number), u, scale or 0), "")

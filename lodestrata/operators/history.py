@@ -65,6 +65,25 @@ def attribute_hash(attributes: list[str]) -> Column:
     return F.md5(F.to_json(F.struct(*attributes), {"ignoreNullFields": "false"}))
 
 
+def islands(each: DataFrame, keys: list[str], attributes: list[str], aggregates: list[Column], task_rows: int) -> DataFrame:
+    """(keys, version, valid_from, valid_to, attributes, aggregates): gaps and islands over ``each``.
+
+    ``each`` has keys, __at, __hash and the attributes, one row per key, time and hash. In the order of
+    time and hash a row whose hash differs from the one before is a mark; the running sum of
+    marks numbers the versions of a key (from 1), each number's minimum time starts it, and the start of the
+    next number ends it. Windows and groups lie on the keys, so all is one shuffle; hot keys are sorted and
+    summed range by range.
+    """
+    order = ["__at", "__hash"]
+    hot = hot_keys(each, keys, task_rows)
+    marked = neighbours(ranged(each, keys, order, hot, task_rows), keys, order, hot, before={"__before": "__hash"})
+    marked = marked.withColumn("__new", (~F.col("__before").eqNullSafe(F.col("__hash"))).cast("bigint"))
+    numbered = running_sum(marked, keys, order, hot, "__new", "version")
+    grouped = numbered.groupBy(*keys, "version").agg(F.min("__at").alias("valid_from"), *aggregates, *[F.first(a).alias(a) for a in attributes])
+    grouped = ranged(grouped, keys, ["version"], hot, task_rows)
+    return neighbours(grouped, keys, ["version"], hot, after={"valid_to": "valid_from"}).drop("__range")
+
+
 def version_history(statements: DataFrame, keys: list[str], at: str, attributes: list[str], id_col: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """The versions of each key: (keys, id, valid_from, valid_to, attributes, first, last).
 
@@ -78,32 +97,16 @@ def version_history(statements: DataFrame, keys: list[str], at: str, attributes:
     """
     narrow = statements.select(*keys, F.col(at).alias("__at"), *[F.col(a) for a in attributes], attribute_hash(attributes).alias("__hash"), F.col(id_col).alias("__id"))
     narrow = narrow.where(F.col("__at").isNotNull() & F.coalesce(*[F.col(k) for k in keys]).isNotNull())
-    each = narrow.groupBy(*keys, "__at", "__hash").agg(F.min("__id").alias("__id"), *[F.first(a).alias(a) for a in attributes])
-    each = cut(each)
-    hot = hot_keys(each, keys, task_rows)
-    marked = neighbours(ranged(each, keys, ["__at", "__hash"], hot, task_rows), keys, ["__at", "__hash"], hot, before={"__before": "__hash"})
-    starts = marked.where(~F.col("__before").eqNullSafe(F.col("__hash")))
-    versions = neighbours(starts, keys, ["__at", "__hash"], hot, after={"__next": "__at"})
-    return versions.select(
-        *keys, F.col("__id").alias("id"), F.col("__at").alias("valid_from"), F.col("__next").alias("valid_to"), *attributes,
-        F.col("__before").isNull().alias("first"), F.col("__next").isNull().alias("last"),
-    )
+    each = cut(narrow.groupBy(*keys, "__at", "__hash").agg(F.min("__id").alias("__id"), *[F.first(a).alias(a) for a in attributes]))
+    versions = islands(each, keys, attributes, [F.min_by("__id", "__at").alias("id")], task_rows)
+    return versions.select(*keys, "id", "valid_from", "valid_to", *attributes, (F.col("version") == 1).alias("first"), F.col("valid_to").isNull().alias("last"))
 
 
 def snapshots_history(snapshots: DataFrame, keys: list[str], at: str, attributes: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
     """Islands over all snapshots, with the number of the version and of the snapshots in it.
 
-    A running sum over the change marks numbers the versions of a key; each number's minimum
-    time starts it and the next number's ends it. Hot keys are sorted and summed range by range. Columns: keys,
-    version (from 1), valid_from, valid_to, snapshots, attributes.
+    Columns: keys, version (from 1), valid_from, valid_to, snapshots, attributes; see :func:`islands`.
     """
     narrow = snapshots.select(*keys, F.col(at).alias("__at"), *attributes, attribute_hash(attributes).alias("__hash")).distinct()
     narrow = cut(narrow.where(F.col("__at").isNotNull()))
-    order = ["__at", "__hash"]
-    hot = hot_keys(narrow, keys, task_rows)
-    marked = neighbours(ranged(narrow, keys, order, hot, task_rows), keys, order, hot, before={"__before": "__hash"})
-    marked = marked.withColumn("__new", (~F.col("__before").eqNullSafe(F.col("__hash"))).cast("bigint"))
-    numbered = running_sum(marked, keys, order, hot, "__new", "version")
-    grouped = numbered.groupBy(*keys, "version").agg(F.min("__at").alias("valid_from"), F.count("*").alias("snapshots"), *[F.min(a).alias(a) for a in attributes])
-    grouped = ranged(grouped, keys, ["version"], hot, task_rows)
-    return neighbours(grouped, keys, ["version"], hot, after={"valid_to": "valid_from"}).drop("__range")
+    return islands(narrow, keys, attributes, [F.count("*").alias("snapshots")], task_rows)

@@ -10,8 +10,8 @@ from lodestrata.operators import hierarchy as H
 from lodestrata.operators.asof import asof_attributes, iso_instant
 from lodestrata.operators.history import version_history
 from lodestrata.operators.references import broken_references, reference_report
-from lodestrata.operators.units import conversions, declared_units, in_common_units, link_estimates, payload_quantities
-from lodestrata.plans.tables import table
+from lodestrata.operators.units import conversions, declared_units, in_common_units, payload_presentations, payload_quantities, payload_sides, presented, source_links
+from lodestrata.plans.tables import cut, table
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
 
@@ -64,14 +64,15 @@ def p2_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fact_parts() -> list[Column]:
-    """What makes a fact the same fact, besides its unit and filing, as text."""
-    dims = F.to_json(F.array_sort(F.map_entries("dimensions")))
-    return [F.coalesce(x, F.lit("\x01")) for x in (F.col("entity_id"), F.col("concept"), F.col("period_type"), F.col("period_instant").cast("string"), F.col("period_start").cast("string"), F.col("period_end").cast("string"), dims)]
+    """What makes a fact the same fact, besides its unit and filing; nulls are told from every value."""
+    texts = [F.coalesce(x.cast("string"), F.lit("\x01")) for x in map(F.col, ("entity_id", "concept", "period_type", "period_instant", "period_start", "period_end"))]
+    none = F.array(F.struct(F.lit("\x01").alias("key"), F.lit("\x01").alias("value")))
+    return [*texts, F.coalesce(F.sort_array(F.map_entries("dimensions")), none)]
 
 
 def fact_key(*more: Column) -> Column:
-    """128-bit digest of a fact's identity."""
-    return F.unhex(F.md5(F.concat_ws("\x02", *fact_parts(), *more)))
+    """128-bit digest of a fact's identity, as two hashes of the columns themselves."""
+    return F.struct(*[F.xxhash64(F.lit(seed), *fact_parts(), *[F.coalesce(m, F.lit("\x01")) for m in more]).alias(f"h{seed}") for seed in (1, 2)])
 
 
 def version_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +85,7 @@ def version_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dated_quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fact, id, quantity, published_at): each statement of a fact with its date."""
     facts = table(spark, sf_dir, "financial_facts")
-    said = in_common_units(facts, fact_conversions(facts)).where("common_value is not null")
+    said = in_common_units(facts, unit_conversions(spark, sf_dir)).where("common_value is not null")
     said = said.select(fact_key(F.col("common_unit")).alias("fact"), "id", F.col("common_value").alias("quantity"), uuid_key(F.col("document_version_id")).alias("version"))
     return said.join(version_dates(spark, sf_dir), "version").drop("version")
 
@@ -124,26 +125,51 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reference_report(p5_broken(spark, sf_dir))
 
 
-def fact_conversions(facts: DataFrame) -> DataFrame:
-    """How each unit of the facts converts, checked over the facts that filings give twice."""
-    declared = declared_units(facts)
-    same = F.unhex(F.md5(F.concat_ws("\x02", *fact_parts(), F.coalesce(uuid_key(F.col("document_version_id")), F.lit("\x01")))))
-    return conversions(declared, link_estimates(facts, same, "unit", "value", "scale", declared))
+def payload_sides_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload_sides(table(spark, sf_dir, "kpi_payloads").select("id", "raw_value", "value", "unit", "currency", "scale").distinct())
+
+
+def unit_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(labels, said): all unit labels of facts, payload columns and raw texts, and what they say of the same quantities.
+
+    A filing that presents a fact twice, and a payload with its raw text and its columns, say one quantity in two ways.
+    """
+    facts, sides = table(spark, sf_dir, "financial_facts"), cut(payload_sides_of(spark, sf_dir))
+    labels = facts.select("unit").unionByName(sides.select(F.explode(F.array("raw_label", "col_label")).alias("unit")))
+    same = F.xxhash64(*fact_parts(), F.coalesce(uuid_key(F.col("document_version_id")), F.lit("\x01")))
+    return labels, presented(facts, same, "unit", "value", "scale").unionByName(payload_presentations(sides, "id"))
+
+
+def unit_conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each unit label of facts and payloads converts, by the links between them and what they say."""
+    labels, said = unit_sources(spark, sf_dir)
+    declared = declared_units(labels)
+    return conversions(declared, source_links(said, declared))
 
 
 def p6_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fact_conversions(table(spark, sf_dir, "financial_facts"))
+    return unit_conversions(spark, sf_dir)
+
+
+def p6_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the links alone tell: each label with as many links as outvote it, its meaning unread unless it is a common unit itself."""
+    labels, said = unit_sources(spark, sf_dir)
+    declared = declared_units(labels)
+    says = declared.where("not literal").select("label", F.col("common_unit").alias("declared_unit"), (F.col("power") + F.log10(F.col("times") / F.col("over"))).alias("says"))
+    blank = declared.select("label", *[F.when(F.col("literal"), F.col(c)).alias(c) for c in ("common_unit", "power", "times", "over")], "literal")
+    found = conversions(blank, source_links(said, declared)).where("how = 'estimated'").join(says, "label", "left")
+    right = (F.col("declared_unit") == F.col("common_unit")) & (F.abs(F.col("says") - F.col("estimate")) < 0.1)
+    return found.select("label", "common_unit", "power", "times", "over", "links", right.alias("as_declared"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = table(spark, sf_dir, "financial_facts")
-    known = fact_conversions(facts)
-    odd = in_common_units(facts.select("id", "unit", "scale", "value"), known)
+    known = unit_conversions(spark, sf_dir)
+    odd = in_common_units(table(spark, sf_dir, "financial_facts").select("id", "unit", "scale", "value"), known)
     odd = odd.where((F.col("unit") != F.col("common_unit")) | (F.coalesce("scale", F.lit(0)) != 0))
-    kpi = payload_quantities(table(spark, sf_dir, "kpi_payloads").select("id", "raw_value", "value", "unit", "currency", "scale").distinct())
+    kpi = payload_quantities(payload_sides_of(spark, sf_dir), known)
     cols = lambda df, name: df.where("common_value is not null").select(F.lit(name).alias("table_name"), F.col("id").alias("record_id"), "common_unit", "common_value")
     return cols(odd, "financial_facts").unionByName(cols(kpi, "kpi_payloads")).distinct()
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_attributes, p2_found, p2_paths, p3_found, p5_found, p5_report, p6_found, p6_units)}
+    return {f.__name__: f for f in (p1_found, p1_attributes, p2_found, p2_paths, p3_found, p5_found, p5_report, p6_found, p6_units, p6_linked)}
