@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.ids import uuid_key
 from lodestrata.llm import leakage, pieces, prose, survivors, tokens
 from lodestrata.operators.units import in_common_units
-from lodestrata.plans.problems import fact_conversions, fact_key
+from lodestrata.plans.problems import fact_key, unit_conversions
 from lodestrata.plans.problems_sql import FACT, FACTS, LABELS
 from lodestrata.plans.tables import cut, remove, table
 
@@ -31,7 +31,7 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "financial_facts")
     fields = ["label", "confidence", "source_span_id", "reported_or_derived", "common_value"]
-    known = in_common_units(facts, fact_conversions(facts)).where("common_unit is not null")
+    known = in_common_units(facts, unit_conversions(spark, sf_dir)).where("common_unit is not null")
     known = known.select("id", uuid_key(F.col("document_version_id")).alias("version"), fact_key(F.col("common_unit")).alias("fact"), "ingested_at", *fields)
     rank = [F.coalesce("confidence", F.lit(-1.0)), (F.col("reported_or_derived") == "reported").cast("int"), F.col("ingested_at")]
     return survivors.survivors(known, ["version", "fact"], "id", rank, fields)
