@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from lodestrata.functions.decimals import plain_number, with_shifted
 from lodestrata.functions.units import COMMON, payload_parts, read_label
-from lodestrata.plans.tables import cut
+from lodestrata.plans.tables import cut, remove
 
 #: Links by which an estimate outvotes what a label says (as if the label had so many links of its own) and by which it is believed
 #: where the label doesn't read; how far (in powers of ten) it may lie off a known conversion.
@@ -94,7 +94,7 @@ def conversions(declared: DataFrame, estimates: DataFrame, least_links: int = LE
     sure = estimates.where((F.col("spread") <= SNAP) & (F.abs(F.coalesce("offset", F.lit(0.0))) < 0.5)).select("label", "ref", "ratio", "links")
     edges = cut(sure.unionByName(sure.select(F.col("ref").alias("label"), F.col("label").alias("ref"), (-F.col("ratio")).alias("ratio"), "links")))
     known = declared.where("literal").select("label", F.col("common_unit").alias("est_unit"), F.lit(0.0).alias("est"), F.lit(None).cast("bigint").alias("est_links"), F.lit(0).alias("hop"))
-    frontier, seen, hop = known, known, 0
+    frontier, seen, hop, parts = known, known, 0, [edges]
     while not frontier.isEmpty():
         hop += 1
         there = frontier.select(F.col("label").alias("ref"), "est_unit", "est", "est_links")
@@ -102,6 +102,7 @@ def conversions(declared: DataFrame, estimates: DataFrame, least_links: int = LE
         best = onward.groupBy("label").agg(F.max_by(F.struct("est_unit", "est", "est_links", "hop"), F.struct("est_links", "est_unit")).alias("b")).select("label", "b.*")
         frontier = cut(best.join(seen.select("label"), "label", "left_anti"))
         seen = seen.unionByName(frontier)
+        parts.append(frontier)
     joined = declared.join(seen.where("hop > 0"), "label", "left")
     says = F.col("power") + F.log10(F.col("times") / F.col("over"))
     way = lambda p, t, o: F.struct(F.lit(p).cast("int").alias("power"), F.lit(t).alias("times"), F.lit(o).alias("over"))
@@ -118,7 +119,10 @@ def conversions(declared: DataFrame, estimates: DataFrame, least_links: int = LE
     linked = how == "estimated"
     pick = lambda c: F.when(linked, F.col(f"snapped.{c}")).otherwise(F.col(c)).alias(c)
     unit = F.when(linked, F.col("est_unit")).otherwise(F.col("common_unit")).alias("common_unit")
-    return cut(joined.select("label", unit, pick("power"), pick("times"), pick("over"), how.alias("how"), F.col("est").alias("estimate"), F.col("est_links").alias("links")).where(F.col("common_unit").isNotNull()))
+    found = cut(joined.select("label", unit, pick("power"), pick("times"), pick("over"), how.alias("how"), F.col("est").alias("estimate"), F.col("est_links").alias("links")).where(F.col("common_unit").isNotNull()))
+    for x in parts:
+        remove(x)
+    return found
 
 
 def in_common_units(rows: DataFrame, conversion: DataFrame, unit: str = "unit", value: str = "value", scale: str = "scale") -> DataFrame:
