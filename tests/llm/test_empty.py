@@ -25,3 +25,9 @@ def test_same_rows_as_sql(spark, name):
     columns = [d[0] for d in want.description]
     got = queries.queries()[name](spark, DATA).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_the_entry_lists_the_text_queries():
+    import __spark_entry__ as entry
+
+    assert {"p4_found", "p7_found", "p8_ids", "p9_found", "p10_found"} <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
