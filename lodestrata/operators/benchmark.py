@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.ids import accession_key
+
 
 def resolve_quotes(quotes: DataFrame, spans: DataFrame) -> DataFrame:
     """(quote_id, n, span_id, code): spans of the quote's accession and section that contain it.
@@ -57,6 +59,24 @@ def temporal_codes(accepted: Column, as_of: Column, role: Column) -> Column:
     return F.when(accepted.isNull(), "UNKNOWN_ACCESSION").when((role == "evidence") & ~known, "EVIDENCE_AFTER_CUTOFF").when((role == "future_revision") & (accepted <= as_of), "REVISION_NOT_AFTER_CUTOFF")
 
 
+def manifest_codes(entries: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, codes): what is wrong with each entry, in the order of the codes, between commas.
+
+    NO_EVIDENCE (none reviewed), UNKNOWN_ACCESSION (one that isn't in ``known`` (acc)), DUPLICATE_EVIDENCE (one twice),
+    EVIDENCE_IS_REVISION (one that is to come later too). Entries have (id, documents_reviewed, future_revisions);
+    accessions compare by their digits.
+    """
+    named = lambda c: entries.select("id", F.explode(c).alias("a")).select("id", accession_key(F.col("a")).alias("acc")).where("acc is not null")
+    each = named("documents_reviewed").groupBy("id", "acc").agg(F.count("*").alias("n"))
+    each = each.join(known.withColumn("__known", F.lit(True)), "acc", "left").join(named("future_revisions").distinct().withColumn("__later", F.lit(True)), ["id", "acc"], "left")
+    codes = each.groupBy("id").agg(
+        F.bool_or(F.col("__known").isNull()).alias("unknown"), F.bool_or(F.col("n") > 1).alias("twice"), F.bool_or(F.col("__later").isNotNull()).alias("later")
+    )
+    joined = entries.select("id").distinct().join(codes, "id", "left")
+    found = [("DUPLICATE_EVIDENCE", F.col("twice")), ("EVIDENCE_IS_REVISION", F.col("later")), ("NO_EVIDENCE", F.col("twice").isNull()), ("UNKNOWN_ACCESSION", F.col("unknown"))]
+    return joined.select("id", F.array_join(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in found])), ",").alias("codes"))
+
+
 def parsed_ratio(text: Column) -> Column:
     """``a/b`` as a number to 12 places; null where it is none or b is 0."""
     a, b = F.regexp_extract(text, r"^\s*(-?[0-9.]+)\s*/\s*(-?[0-9.]+)\s*$", 1), F.regexp_extract(text, r"^\s*(-?[0-9.]+)\s*/\s*(-?[0-9.]+)\s*$", 2)

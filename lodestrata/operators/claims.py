@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.retrieval import words
@@ -42,6 +42,25 @@ def fold_claims(edges: DataFrame, claim: str = "claim_id", kind: str = "edge") -
     return edges.groupBy(claim).agg(status.alias("status"))
 
 
+def word_support(claims: DataFrame, items: DataFrame, scope: str, partial: float = 0.5) -> DataFrame:
+    """(claim_id, share): the greatest share of each claim's words that one item of its scope has, where it is at least ``partial``.
+
+    Claims have (claim_id, scope, words), items (scope, words); words are sets. An item with that share of a claim
+    must have one of the claim's rarest words: all but as many as would still miss the share. So these are looked up in an
+    index of the items' words, and only pairs that meet there are compared. Claims of the same words are compared once.
+    A claim without words has no share, nor one that no item supports so far.
+    """
+    said = claims.select(scope, "words").where(F.size("words") > 0).distinct().withColumn("__said", F.xxhash64(scope, "words"))
+    known = items.select(scope, F.col("words").alias("__has")).distinct().withColumn("__item", F.xxhash64(scope, "__has"))
+    index = known.select(scope, "__item", F.explode("__has").alias("word"))
+    rarity = index.groupBy(scope, "word").agg(F.count("*").alias("__n"))
+    each = said.select(scope, "__said", F.explode("words").alias("word"), (F.size("words") - F.ceil(F.size("words") * partial) + 1).alias("__least"))
+    ordered = each.join(rarity, [scope, "word"], "left").withColumn("__k", F.row_number().over(Window.partitionBy(scope, "__said").orderBy(F.coalesce("__n", F.lit(0)), "word")))
+    pairs = ordered.where(F.col("__k") <= F.col("__least")).join(index, [scope, "word"]).select(scope, "__said", "__item").distinct()
+    best = pairs.join(said, [scope, "__said"]).join(known, [scope, "__item"]).groupBy(scope, "words").agg(F.max(shared(F.col("words"), F.col("__has"))).alias("share"))
+    return claims.join(best.where(F.col("share") >= partial), [scope, "words"]).select("claim_id", "share")
+
+
 def abstains(claims: DataFrame, run: str) -> DataFrame:
     """(run, abstained): no claim of the run is supported at all; runs come with at least one row (null status: no claim)."""
     return claims.groupBy(run).agg(F.coalesce(F.bool_and(F.col("status") == "unsupported"), F.lit(True)).alias("abstained"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators.history import ranged, running_sum
 from lodestrata.operators.hot import TASK_ROWS, hot_counts, hot_keys, spread_join
+from lodestrata.operators.stab import around, cover
 from lodestrata.plans.tables import cut, remove
 
 #: Nodes that one task lays out together.
@@ -306,10 +307,19 @@ def _finished(rows: DataFrame) -> DataFrame:
     return rows.select("id", "root", "depth", free("lo"), free("hi"), below.alias("n_descendants"), "looped", *([free("path")] if "path" in rows.columns else []))
 
 
+#: Preorder numbers lie below 2 to this power.
+RANGE_BITS = 40
+
+
 def descendants(tree: DataFrame, asked: DataFrame) -> DataFrame:
     """(ancestor, id, below): everything below the nodes in ``asked`` (column id).
 
-    By nested sets: rows of the same root whose ``lo`` lies in the ancestor's range.
+    By nested sets: the range of an ancestor falls into aligned intervals, and the number of each node lies in one of every
+    size; both meet where they share root and interval, so only true pairs are made, however many are asked for.
     """
-    top = tree.join(asked.select("id").distinct(), "id", "left_semi").where(~F.col("looped")).select(F.col("id").alias("ancestor"), "root", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"), F.col("depth").alias("__depth"))
-    return tree.where(~F.col("looped")).join(top, "root").where((F.col("lo") > F.col("__lo")) & (F.col("lo") < F.col("__hi"))).select("ancestor", "id", (F.col("depth") - F.col("__depth")).alias("below"))
+    free = tree.where(~F.col("looped"))
+    top = free.join(asked.select("id").distinct(), "id", "left_semi").where(F.col("hi") > F.col("lo") + 1)
+    top = top.select(F.col("id").alias("ancestor"), "root", F.col("depth").alias("__depth"), F.explode(cover(F.col("lo") + 1, F.col("hi"), RANGE_BITS)).alias("__n"))
+    sizes = [r[0] for r in top.select("__n.level").distinct().collect()]  # at most RANGE_BITS
+    nodes = free.select("id", "root", "depth", F.explode(F.filter(around(F.col("lo"), RANGE_BITS), lambda n: n["level"].isin(sizes))).alias("__n"))
+    return nodes.join(top, ["root", "__n"]).select("ancestor", "id", (F.col("depth") - F.col("__depth")).alias("below"))

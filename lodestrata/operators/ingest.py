@@ -9,27 +9,67 @@ from lodestrata.functions.decimals import let, shifted
 from lodestrata.functions.ids import uuid5
 from lodestrata.operators.spans import span_code
 
-# Number formats of inline facts, and reasons for which a filing is set aside.
-FORMATS = ("num-dot-decimal", "num-comma-decimal", "num-unit-decimal", "zerodash", "fixed-zero", "numdotdecimal", "numcommadecimal")
-REASONS = ("UNKNOWN_CONTEXT", "UNKNOWN_FORMAT", "UNKNOWN_UNIT", "BAD_NUMBER", "BAD_PERIOD", "FACT_CONFLICT", "EMPTY_DOCUMENT", "HASH_MISMATCH")
+# Number formats of inline facts (all others are refused), dashes that mean zero, and reasons for which a filing is set aside.
+POINT_FORMATS, COMMA_FORMATS = ("num-dot-decimal", "numdotdecimal"), ("num-comma-decimal", "numcommadecimal")
+ZERO_FORMATS, EMPTY_FORMATS = ("fixed-zero", "fixedzero", "zerodash", "numdash"), ("fixed-empty", "fixedempty")
+FORMATS = (*POINT_FORMATS, *COMMA_FORMATS, *ZERO_FORMATS, *EMPTY_FORMATS)
+DASHES = ("-", "‐", "–", "—", "−")
+REASONS = ("UNKNOWN_CONTEXT", "UNKNOWN_FORMAT", "UNKNOWN_UNIT", "BAD_NUMBER", "BAD_PERIOD", "EMPTY_FACT_VALUE", "NONFINITE_FACT_VALUE", "FACT_CONFLICT", "EMPTY_DOCUMENT", "HASH_MISMATCH")
 #: Namespace of the ids made here.
 SPACE = "6ba7b8129dad11d180b400c04fd430c8"
 
 
 def inline_value(raw: Column, form: Column, sign: Column, scale: Column) -> tuple[Column, Column]:
-    """(value, code) of an inline fact: a plain decimal, fully scaled; dashes are zero.
+    """(value, code) of an inline fact: a plain decimal, fully scaled; a lone dash is zero, brackets and a sign negate.
 
-    Formats outside FORMATS give UNKNOWN_FORMAT, texts that are no number BAD_NUMBER.
+    A fact without a format is written with a decimal point. UNKNOWN_FORMAT: outside FORMATS; EMPTY_FACT_VALUE: an empty text, or
+    a format that declares there is no number (a null text is a BAD_NUMBER); NONFINITE_FACT_VALUE: NaN and infinities; BAD_NUMBER: no number.
     """
-    name = F.regexp_replace(F.lower(F.coalesce(form, F.lit("num-dot-decimal"))), "^.*:", "")
+    name = F.regexp_replace(F.lower(F.trim(F.coalesce(form, F.lit("num-dot-decimal")))), "^.*:", "")
     t = F.trim(raw)
-    dash = t.isin("-", "–", "—") | name.isin("zerodash", "fixed-zero")
-    bare = F.regexp_replace(F.when(name.isin("num-comma-decimal", "numcommadecimal"), F.translate(t, ".,", "x.")).otherwise(F.translate(t, ",", "")), "[x $€£]", "")
-    bare = F.when(bare.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.regexp_replace(bare, "[()]", ""))).otherwise(bare)
-    number = shifted(bare, F.coalesce(scale.try_cast("int"), F.lit(0)))
-    number = F.when(dash, "0").when(sign == "-", let(number, lambda n: F.when(n == "0", n).when(n.startswith("-"), F.substring(n, 2, 1 << 30)).otherwise(F.concat(F.lit("-"), n)))).otherwise(number)
-    code = F.when(~name.isin(*FORMATS), "UNKNOWN_FORMAT").when(number.isNull(), "BAD_NUMBER")
-    return F.when(code.isNull(), number), code
+    bracketed = t.rlike(r"^\(.*\)$")
+    t = F.when(bracketed, F.trim(F.regexp_replace(t, r"^\((.*)\)$", "$1"))).otherwise(t)
+    zero = t.isin(*DASHES) | name.isin(*ZERO_FORMATS)
+    bare = F.translate(F.when(name.isin(*COMMA_FORMATS), F.translate(t, ",.", ".")).otherwise(F.translate(t, ",", "")), " \u00a0", "")
+    finite = ~F.lower(bare).rlike("^[-+]?(s?nan|inf(inity)?)$")
+    number = F.when(zero, F.lit("0")).otherwise(shifted(F.when(bare.rlike(r"^[-+0-9.eE]+$"), bare), F.coalesce(scale.try_cast("int"), F.lit(0))))
+    turned = lambda n: F.when(n == "0", n).when(n.startswith("-"), F.substring(n, 2, 1 << 30)).otherwise(F.concat(F.lit("-"), n))
+    flip = bracketed != F.coalesce(sign == "-", F.lit(False))
+    code = F.when(~name.isin(*FORMATS), "UNKNOWN_FORMAT").when(name.isin(*EMPTY_FORMATS) | (bare == "") & ~name.isin(*ZERO_FORMATS), "EMPTY_FACT_VALUE")
+    code = code.when(~zero & ~finite, "NONFINITE_FACT_VALUE").when(number.isNull(), "BAD_NUMBER")
+    return F.when(code.isNull(), F.when(flip, let(number, turned)).otherwise(number)), code
+
+
+def common_measure(measure: Column) -> Column:
+    """A unit measure of an inline fact by its common name: currencies by ISO code, shares, pure, and money per share; others stay."""
+    plain = F.regexp_replace(measure, "(?i)iso4217:|xbrli:", "")
+    return F.when(plain.rlike("(?i)^[a-z]{3}$") & F.lower(measure).startswith("iso4217:"), F.upper(plain)).when(
+        plain.rlike("(?i)^[a-z]{3}/shares$"), F.concat(F.upper(F.left(plain, F.lit(3))), F.lit("/shares"))
+    ).when(F.lower(plain).isin("shares", "pure"), F.lower(plain)).otherwise(measure)
+
+
+def inline_facts(parsed: DataFrame, id_col: str) -> DataFrame:
+    """(id, ord, concept, value, unit, period, dims, entity, fact_key, code): the facts of parsed documents with their contexts and units.
+
+    Contexts and units are looked up within the document's own row, so nothing is shuffled. ``code`` tells why a fact is no
+    good: UNKNOWN_CONTEXT, UNKNOWN_UNIT, BAD_PERIOD (neither an instant nor a start and end in order), or that of :func:`inline_value`.
+    Facts marked nil, and facts without a unit that are texts, aren't numbers and don't come out.
+    """
+    f = parsed.select(id_col, "contexts", "units", F.posexplode("facts").alias("ord", "f")).where(~F.col("f.nil"))
+    context = F.get(F.filter("contexts", lambda c: c["id"] == F.col("f.context")), F.lit(0))
+    unit = F.get(F.filter("units", lambda u: u["id"] == F.col("f.unit")), F.lit(0))
+    f = f.where(F.col("f.unit").isNotNull()).select(id_col, "ord", "f", context.alias("c"), unit["measure"].alias("measure"))
+    value, code = inline_value(F.col("f.raw"), F.col("f.format"), F.col("f.sign"), F.col("f.scale"))
+    day = lambda n: F.col(f"c.{n}").try_cast("date")
+    lasting = day("start") <= day("end")
+    period = F.coalesce(day("instant").cast("string"), F.when(lasting, F.concat_ws("/", day("start").cast("string"), day("end").cast("string"))))
+    kind = F.when(day("instant").isNotNull(), "instant").otherwise("duration")
+    common = common_measure(F.col("measure"))
+    code = F.when(F.col("c").isNull(), "UNKNOWN_CONTEXT").when(F.col("measure").isNull(), "UNKNOWN_UNIT").when(period.isNull(), "BAD_PERIOD").otherwise(code)
+    dims = F.array_join(F.transform(F.array_sort(F.map_entries("c.dimensions")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    key = fact_key(F.col("f.concept"), common, kind, day("instant"), day("start"), day("end"), F.col("c.dimensions"))
+    good = lambda c: F.when(code.isNull(), c)
+    return f.select(id_col, "ord", F.col("f.concept").alias("concept"), good(value).alias("value"), common.alias("unit"), period.alias("period"), dims.alias("dims"), F.col("c.entity").alias("entity"), good(key).alias("fact_key"), code.alias("code"))
 
 
 def fact_key(concept: Column, unit: Column, period_type: Column, instant: Column, start: Column, end: Column, dimensions: Column) -> Column:

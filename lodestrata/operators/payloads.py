@@ -109,3 +109,63 @@ def part_within_whole(rows: DataFrame, slice_cols: list[str], metric: str, value
 def merged_counters(log: DataFrame, key: str, counters: list[str]) -> DataFrame:
     """Counters that only grow, from a log in any order."""
     return log.groupBy(key).agg(*[F.max(c).alias(c) for c in counters])
+
+
+def digest_uuid(text: Column) -> Column:
+    """The first 32 hexadecimal digits of a sha256 in the form of a UUID (which it is in form only)."""
+    h = F.sha2(text, 256)
+    return F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def canonical_hash(columns: list[str]) -> Column:
+    """sha256 of the columns as one JSON object: sorted keys, no blanks, nulls kept."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def period_text(kind: Column, instant: Column, start: Column, end: Column) -> Column:
+    """A day, or ``start/end``; null where the parts given don't make a period of its kind."""
+    at = F.when((kind == "instant") & start.isNull(), instant.cast("string"))
+    return F.coalesce(at, F.when((kind == "duration") & instant.isNull() & (start <= end), F.concat_ws("/", start.cast("string"), end.cast("string"))))
+
+
+def kind_of(name: Column, kinds: dict[str, tuple[str, ...]], other: str) -> Column:
+    """The kind that lists a name, else ``other``."""
+    out = F.lit(None).cast("string")
+    for kind, names in kinds.items():
+        out = F.coalesce(out, F.when(name.isin(*names), kind))
+    return F.coalesce(out, F.lit(other))
+
+
+def unit_mismatch(metric: Column, unit: Column, metric_kinds: dict[str, tuple[str, ...]], unit_kinds: dict[str, tuple[str, ...]], other: str) -> Column:
+    """UNIT_MISMATCH where a given unit isn't of the kind of its metric; what is in no list, and a null metric, is of kind ``other``."""
+    return F.when(unit.isNotNull() & (kind_of(F.lower(unit), unit_kinds, other) != kind_of(metric, metric_kinds, other)), "UNIT_MISMATCH")
+
+
+#: What texts of each JSON type look like.
+JSON_TYPES = {"integer": "^-?(0|[1-9][0-9]*)$", "number": r"^-?(0|[1-9][0-9]*)([.][0-9]+)?([eE][-+]?[0-9]+)?$", "boolean": "^(true|false)$", "array": r"^\[", "object": r"^\{"}
+
+
+def schema_errors(raw: Column, schema: dict) -> Column:
+    """Codes ``key:RULE`` in the order of the schema for what a JSON object breaks; ``:TYPE`` where it is no object.
+
+    Known of JSON schema are type, required, properties, enum, minLength, minimum and maximum. A null value counts as missing; a string
+    is told from other types by its text only, so "5" passes as an integer.
+    """
+    known = F.json_object_keys(raw)
+    codes = [F.when(known.isNull(), F.lit(":TYPE"))]
+    for name, rule in schema.get("properties", {}).items():
+        v = F.get_json_object(raw, f"$.{name}")
+        n = v.try_cast("double")
+        if name in schema.get("required", []):
+            codes.append(F.when(known.isNotNull() & v.isNull(), F.lit(f"{name}:REQUIRED")))
+        if rule.get("type") in JSON_TYPES:
+            codes.append(F.when(~v.rlike(JSON_TYPES[rule["type"]]), F.lit(f"{name}:TYPE")))
+        if "enum" in rule:
+            codes.append(F.when(~v.isin(*[str(x) for x in rule["enum"]]), F.lit(f"{name}:ENUM")))
+        if "minLength" in rule:
+            codes.append(F.when(F.length(v) < rule["minLength"], F.lit(f"{name}:MIN_LENGTH")))
+        if "minimum" in rule:
+            codes.append(F.when(n < rule["minimum"], F.lit(f"{name}:MINIMUM")))
+        if "maximum" in rule:
+            codes.append(F.when(n > rule["maximum"], F.lit(f"{name}:MAXIMUM")))
+    return F.array_compact(F.array(*codes))

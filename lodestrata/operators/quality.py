@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,3 +74,65 @@ def spend(usage: DataFrame, now: Column, user: str, amount: str, at: str) -> Dat
 def ceiling(day: Column, month: Column, soft_day: float, hard_day: float, soft_month: float, hard_month: float) -> Column:
     """block at a hard limit, warn at a soft one, else ok."""
     return F.when((day >= hard_day) | (month >= hard_month), "block").when((day >= soft_day) | (month >= soft_month), "warn").otherwise("ok")
+
+
+def pin_codes(rows: DataFrame, known: DataFrame, key: str, pin: str) -> DataFrame:
+    """Adds ``code``: UNKNOWN_SPAN where no row of ``known`` has the key, WRONG_VERSION where none has it with the row's pin, else ok."""
+    keys = known.select(key).distinct().withColumn("__key", F.lit(True))
+    pairs = known.select(key, pin).distinct().withColumn("__pair", F.lit(True))
+    joined = rows.join(keys, key, "left").join(pairs, [key, pin], "left")
+    return joined.withColumn("code", F.when(F.col("__key").isNull(), "UNKNOWN_SPAN").when(F.col("__pair").isNull(), "WRONG_VERSION").otherwise("ok")).drop("__key", "__pair")
+
+
+def differing(fields: dict[str, tuple[str, str]]) -> Column:
+    """Names of the fields whose two columns differ (null-safe), in order."""
+    return F.array_compact(F.array(*[F.when(~F.col(a).eqNullSafe(F.col(b)), F.lit(n)) for n, (a, b) in fields.items()]))
+
+
+def job_counts(jobs: DataFrame, by: list[str], status: str, done: list[str], failed: list[str]) -> DataFrame:
+    """(by, n_total, n_succeeded, n_pending, n_failed); what is neither done nor failed, null too, is pending."""
+    is_done, is_failed = F.coalesce(F.col(status).isin(*done), F.lit(False)), F.coalesce(F.col(status).isin(*failed), F.lit(False))
+    return jobs.groupBy(*by).agg(F.count("*").alias("n_total"), F.count_if(is_done).alias("n_succeeded"), F.count_if(~is_done & ~is_failed).alias("n_pending"), F.count_if(is_failed).alias("n_failed"))
+
+
+def visible_to(rows: DataFrame, claim: DataFrame, owner: str) -> DataFrame:
+    """Rows of the one owner in ``claim`` (claim) and of nobody; without a claim, only those of nobody."""
+    one = claim.first()
+    own = F.col(owner) == one["claim"] if one is not None else F.lit(False)
+    return rows.where(F.col(owner).isNull() | own)
+
+
+def first_writes(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(order, outcome): the first row under a key is accepted, later ones are a replay (same value) or a conflict.
+
+    ``order`` is unique. The first write comes from an aggregation that combines before the shuffle.
+    """
+    first = rows.groupBy(*keys).agg(F.min(F.struct(F.col(order).alias("o"), F.col(value).alias("v"))).alias("__first"))
+    same = F.lit(True)
+    on = [rows[k].eqNullSafe(first[k]) for k in keys]
+    for c in on:
+        same = same & c
+    joined = rows.join(first, same)
+    outcome = F.when(rows[order] == F.col("__first.o"), "accepted").when(rows[value].eqNullSafe(F.col("__first.v")), "replay").otherwise("conflict")
+    return joined.select(rows[order], outcome.alias("outcome"))
+
+
+def exact_quantile(rows: DataFrame, keys: list[str], value: str, share: float, name: str, accuracy: int = 10_000) -> DataFrame:
+    """(keys, name): the smallest value that at least ``share`` of a key's values don't exceed, exactly.
+
+    Approximate quantiles, whose rank error is at most 1 / ``accuracy``, bracket it; values below the bracket are only
+    counted, those within it are counted per value, before any shuffle, and summed in order. So of a key of any size
+    few rows meet in one task. Nulls don't count; a key without values has no row.
+    """
+    v = rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    at = [max(0.0, share - 2 / accuracy), min(1.0, share + 2 / accuracy)]
+    bracket = v.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.percentile_approx("__v", at, accuracy).alias("__q"), F.count("*").alias("__n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & v[k].eqNullSafe(bracket[f"__{k}"])
+    inside = (F.col("__v") >= F.col("__q")[0]) & (F.col("__v") <= F.col("__q")[1])
+    met = v.join(bracket, same).where(F.col("__v") <= F.col("__q")[1])
+    counted = met.groupBy(*keys, "__n", F.when(inside, F.col("__v")).alias("__v")).agg(F.count("*").alias("__c"))
+    w = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = counted.withColumn("__sum", F.sum("__c").over(w)).where(F.col("__v").isNotNull() & (F.col("__sum") >= F.col("__n") * share))
+    return summed.groupBy(*keys).agg(F.min("__v").alias(name))

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.vectors import exact_knn  # noqa: F401 - the dense lane
+
 #: Lanes in their order, and the constant of reciprocal rank fusion.
 LANES = ("dense", "lexical", "facts", "tables")
 RRF_K = 60
 FUSED_WINDOW = 100
-#: Rows of a corpus up to which a set of query vectors may be broadcast: vectors x dimensions.
-QUERY_BLOCK_VALUES = 1 << 20
 
 
 def lane_filter(items: DataFrame, as_of: Column, kinds: list[str] | None = None, entities: list[str] | None = None, documents: list[str] | None = None, forms: list[str] | None = None, corpus: DataFrame | None = None) -> DataFrame:
@@ -38,26 +38,6 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(norm == 0, F.lit(1.0)).otherwise(1 - dot(a, b) / norm)
 
 
-def exact_knn(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int) -> DataFrame:
-    """(query_id, item_id, distance, rank): the k nearest of all vectors for each query.
-
-    ``queries`` has (query_id, query). Queries run against all rows in blocks: each is a
-    bounded set of vectors in an array, every task keeps its k best per query, and only
-    those are shuffled. Ties go to the smaller id; distances are rounded to 6 places before
-    ranking, so that the order is stable.
-    """
-    n_values = queries.select(F.coalesce(F.sum(F.size("query")), F.lit(0))).first()[0]
-    blocks = max(1, -(-n_values // QUERY_BLOCK_VALUES))
-    out = None
-    for b in range(blocks):
-        block = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("query_id", "query")).alias("__q"))
-        pairs = vectors.select(F.col(id_col).alias("item_id"), F.col(vector).alias("__v")).crossJoin(block)  # one row of bounded size
-        scored = pairs.select("item_id", "__v", F.explode("__q").alias("q")).select(F.col("q.query_id").alias("query_id"), "item_id", (F.round(cosine_distance(F.col("__v"), F.col("q.query")), 6) + F.lit(0.0)).alias("distance"))
-        out = scored if out is None else out.unionByName(scored)
-    w = Window.partitionBy("query_id").orderBy("distance", "item_id")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
@@ -69,7 +49,10 @@ def lexical_scores(items: DataFrame, id_col: str, text: str, terms: list[str]) -
     shuffled: words are counted within each row.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
-    w = items.select(F.col(id_col).alias("item_id"), words(F.col(text)).alias("__w"))
+    w = items.select(F.col(id_col).alias("item_id"), F.lower(F.col(text)).alias("__t"))
+    for t in terms:  # a text without the letters of a term is dropped before it is cut into words
+        w = w.where(F.col("__t").contains(t))
+    w = w.select("item_id", F.explode(F.array(words(F.col("__t")))).alias("__w"))  # cut once, not in every test
     for t in terms:
         w = w.where(F.array_contains("__w", t))
     hits = F.size(F.filter("__w", lambda x: x.isin(terms)))
@@ -88,6 +71,13 @@ def provenance_key(kind: Column, fact: Column, version: Column, row_index: Colum
     return F.when(fact.isNotNull(), F.concat_ws("|", F.lit("fact"), part(fact))).when(row_index.isNotNull(), F.concat_ws("|", F.lit("row"), part(version), part(span), part(row_index))).otherwise(F.concat_ws("|", F.lit("span"), part(kind), part(span)))
 
 
+def anchor_text(fact: Column, span: Column, row_index: Column) -> Column:
+    """Where a candidate points, as a text: a fact, a row of a table, else a span."""
+    some = F.coalesce(span, F.lit(""))
+    row = F.concat(F.lit("row:"), some, F.lit("#"), row_index.cast("string"))
+    return F.when(fact.isNotNull(), F.concat(F.lit("fact:"), fact)).when(row_index.isNotNull(), row).otherwise(F.concat(F.lit("span:"), some))
+
+
 def rrf_term(rank: Column, k: int = RRF_K) -> Column:
     """1 / (k + rank), rounded half even to 12 places, as an exact decimal."""
     return F.bround(F.lit(1).cast("decimal(38,18)") / (F.lit(k) + rank).cast("decimal(10,0)"), 12).cast("decimal(13,12)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.history import neighbours, ranged, running_sum
+from lodestrata.operators.hot import TASK_ROWS, hot_keys
 from lodestrata.plans.tables import cut
 
 
@@ -50,6 +52,38 @@ def siblings(documents: DataFrame, targets: DataFrame) -> DataFrame:
     return documents.join(t, "entity_id").where((F.col("id") != F.col("target")) & (F.col("published_at") <= F.col("__at"))).select("target", "id", "published_at")
 
 
+def sibling_summary(documents: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(target, n_siblings, latest, latest_at): how many other documents of its entity were published by then, and the latest of them.
+
+    Documents have (id, entity_id, published_at). Points in time are counted first and then summed along each entity,
+    range by range where it has very many; of each point and the one before the two greatest ids suffice. So no pairs are made.
+    Documents without entity or date have no row; ties go to the greater id.
+    """
+    d = documents.where(F.col("entity_id").isNotNull() & F.col("published_at").isNotNull()).select("id", "entity_id", "published_at").distinct()
+    points = cut(d.groupBy("entity_id", "published_at").agg(F.count("*").alias("n"), F.max("id").alias("top")))
+    hot = hot_keys(points, ["entity_id"], task_rows)
+    parted = ranged(points, ["entity_id"], ["published_at"], hot, task_rows)
+    summed = running_sum(parted, ["entity_id"], ["published_at"], hot, "n", "upto")
+    summed = neighbours(summed, ["entity_id"], ["published_at"], hot, before={"earlier": "top", "earlier_at": "published_at"})
+    second = d.join(points.select("entity_id", "published_at", "top"), ["entity_id", "published_at"]).where("id <> top").groupBy("entity_id", "published_at").agg(F.max("id").alias("second"))
+    at = summed.join(second, ["entity_id", "published_at"], "left").select("entity_id", "published_at", "upto", "top", "second", "earlier", "earlier_at")
+    beside = F.when(F.col("id") != F.col("top"), F.col("top")).otherwise(F.col("second"))
+    return d.join(at, ["entity_id", "published_at"]).select(
+        F.col("id").alias("target"), (F.col("upto") - 1).alias("n_siblings"), F.coalesce(beside, "earlier").alias("latest"), F.when(beside.isNotNull(), F.col("published_at")).otherwise(F.col("earlier_at")).alias("latest_at")
+    )
+
+
+def pinned(documents: DataFrame, versions: DataFrame, id_col: str) -> DataFrame:
+    """(id, n, version_id, code): the one version of each document; NO_VERSION or MANY_VERSIONS otherwise.
+
+    Documents have (id, document_id), versions (id, document_id).
+    """
+    v = versions.groupBy("document_id").agg(F.count("*").alias("n"), F.min("id").alias("version_id"))
+    joined = documents.join(v, "document_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    code = F.when(F.col("n") == 0, "NO_VERSION").when(F.col("n") > 1, "MANY_VERSIONS")
+    return joined.select(id_col, "n", F.when(F.col("n") == 1, F.col("version_id")).alias("version_id"), code.alias("code"))
+
+
 def base_form(form: Column) -> Column:
     return F.regexp_replace(form, "/A$", "")
 

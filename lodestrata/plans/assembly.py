@@ -166,3 +166,40 @@ def customer_orders(spark: SparkSession, d: str) -> DataFrame:
 def pricing_summary(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").where(F.col("l_shipdate") <= F.lit("2001-06-01").cast("timestamp"))  # noqa: E741
     return l.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("n"))
+
+
+HEADER = """<html><head><title>t</title></head><body><ix:header><ix:resources>
+<xbrli:context id="c1"><xbrli:entity><xbrli:identifier scheme="cik">0000000042</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2023-01-01</xbrli:startDate><xbrli:endDate>2023-12-31</xbrli:endDate></xbrli:period></xbrli:context>
+<xbrli:context id="c2"><xbrli:entity><xbrli:identifier scheme="cik">0000000042</xbrli:identifier><xbrli:segment><xbrldi:explicitMember dimension="x:Region">x:East</xbrldi:explicitMember><xbrldi:explicitMember dimension="x:Line">x:Wood</xbrldi:explicitMember></xbrli:segment></xbrli:entity><xbrli:period><xbrli:instant>2023-12-31</xbrli:instant></xbrli:period></xbrli:context>
+<xbrli:context id="c3"><xbrli:entity><xbrli:identifier>42</xbrli:identifier></xbrli:entity><xbrli:period><xbrli:startDate>2024-01-01</xbrli:startDate><xbrli:endDate>2023-12-31</xbrli:endDate></xbrli:period></xbrli:context>
+<xbrli:unit id="u1"><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unit><xbrli:unit id="u2"><xbrli:divide><xbrli:unitNumerator><xbrli:measure>iso4217:USD</xbrli:measure></xbrli:unitNumerator><xbrli:unitDenominator><xbrli:measure>xbrli:shares</xbrli:measure></xbrli:unitDenominator></xbrli:divide></xbrli:unit>
+<xbrli:unit id="u3"><xbrli:measure>xbrli:pure</xbrli:measure></xbrli:unit></ix:resources></ix:header>"""
+
+#: What stands in a document, and (value, unit, period, dims, code) of the fact in it.
+INLINE = (
+    ('unitRef="u1" contextRef="c1" scale="6">1,234.5<', "1234500000", "USD", "2023-01-01/2023-12-31", "", None),
+    ('unitRef="u1" contextRef="c1" scale="3" format="ixt:num-comma-decimal">(1.234,56)<', "-1234560", "USD", "2023-01-01/2023-12-31", "", None),
+    ('unitRef="u2" contextRef="c1" sign="-">(0.42)<', "0.42", "USD/shares", "2023-01-01/2023-12-31", "", None),
+    ('unitRef="u3" contextRef="c2" sign="-">12<', "-12", "pure", "2023-12-31", "x:Line=x:Wood;x:Region=x:East", None),
+    ('unitRef="u1" contextRef="c2">—<', "0", "USD", "2023-12-31", "x:Line=x:Wood;x:Region=x:East", None),
+    ('unitRef="u1" contextRef="c1" format="ixt:numdash">none<', "0", "USD", "2023-01-01/2023-12-31", "", None),
+    ('unitRef="u1" contextRef="c1" format="ixt:num-unit-decimal">1,250<', None, "USD", "2023-01-01/2023-12-31", "", "UNKNOWN_FORMAT"),
+    ('unitRef="u1" contextRef="c1" format="ixt:fixed-empty">5<', None, "USD", "2023-01-01/2023-12-31", "", "EMPTY_FACT_VALUE"),
+    ('unitRef="u1" contextRef="c1">NaN<', None, "USD", "2023-01-01/2023-12-31", "", "NONFINITE_FACT_VALUE"),
+    ('unitRef="u1" contextRef="c1">see note<', None, "USD", "2023-01-01/2023-12-31", "", "BAD_NUMBER"),
+    ('unitRef="u1" contextRef="c9">5<', None, "USD", None, None, "UNKNOWN_CONTEXT"),
+    ('unitRef="u9" contextRef="c1">5<', None, None, "2023-01-01/2023-12-31", "", "UNKNOWN_UNIT"),
+    ('unitRef="u1" contextRef="c3">5<', None, "USD", None, "", "BAD_PERIOD"),
+)
+
+
+def _told(x: str | None) -> str:
+    return "NULL" if x is None else f"'{x}'"
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_told, want))})" for i, (_, *want) in enumerate(INLINE)) + ") t(doc, value, unit, period, dims, code)")
+def inline_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Inline facts of filings in HTML, through their contexts and units to values in full."""
+    rows = [(i, f'{HEADER}<p>We earned <ix:nonFraction name="x:Revenue" {x}/ix:nonFraction>.</p></body></html>') for i, (x, *_) in enumerate(INLINE)]
+    parsed = parse_documents(spark.createDataFrame(rows, "doc int, html string"), "doc", "html")
+    return I.inline_facts(parsed, "doc").select("doc", "value", "unit", "period", "dims", "code")

@@ -71,13 +71,6 @@ def prior_facts_asof(spark: SparkSession, d: str) -> DataFrame:
     return T.prior_facts(published_facts(spark, d), as_of(), "8-K").select("fact_key", "id", "value")
 
 
-@query("""SELECT t.id AS target, d.id, strftime(d.published_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS published_at FROM documents t JOIN documents d
-  ON t.entity_id = d.entity_id AND d.id <> t.id AND d.published_at <= t.published_at WHERE t.form = 'DEF 14A'""")
-def entity_siblings(spark: SparkSession, d: str) -> DataFrame:
-    docs = documents(spark, d).select("id", "entity_id", "form", "published_at")
-    return T.siblings(docs, docs.where("form = 'DEF 14A'")).withColumn("published_at", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss"))
-
-
 AMENDS_SQL = """d AS (SELECT id, entity_id, regexp_replace(form, '/A$', '') AS base, period_start, period_end, published_at, form LIKE '%/A' AS amended FROM documents),
 links AS (SELECT a.id, arg_max(o.id, (o.published_at, o.id)) AS amends FROM d a JOIN d o ON a.entity_id = o.entity_id AND a.base = o.base AND a.period_start = o.period_start AND a.period_end = o.period_end
   AND ((NOT o.amended AND o.published_at <= a.published_at) OR (o.amended AND o.published_at < a.published_at)) WHERE a.amended GROUP BY a.id)"""
@@ -263,7 +256,7 @@ def spend_ceiling(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
 def p95_value(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
+    return Q.exact_quantile(table(spark, d, "events"), ["event_type"], "value", 0.95, "p95")
 
 
 @query("SELECT accession FROM documents WHERE form = '10-K' INTERSECT SELECT accession FROM documents WHERE valid_to IS NOT NULL")

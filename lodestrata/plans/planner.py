@@ -76,8 +76,8 @@ class Plan:
 
 
 def plan_query(question: str, as_of: str, workspace_as_of: str, lanes: list[str] | None = None, top_k: int = 50, synonyms: dict[str, str] | None = None, entities: list[str] | None = None, documents: list[str] | None = None, forms: list[str] | None = None, periods: list[str] | None = None, pins: dict[str, str] | None = None) -> Plan:
-    """Checks a request and makes its plan. The earlier of both cutoffs counts; lanes run in
-    their fixed order whatever was asked; an empty filter is no filter."""
+    """Checks a request and makes its plan. The earlier of both cutoffs counts; lanes keep the
+    order asked for; an empty filter is no filter."""
     question = question.strip()
     if not question:
         raise PlanError("EMPTY_QUESTION")
@@ -85,9 +85,13 @@ def plan_query(question: str, as_of: str, workspace_as_of: str, lanes: list[str]
         raise PlanError("QUESTION_TOO_LONG", str(len(question)))
     if not 1 <= top_k <= MOST_TOP_K:
         raise PlanError("BAD_TOP_K", str(top_k))
-    asked = set(LANES if lanes is None else lanes)
-    if not asked or asked - set(LANES):
-        raise PlanError("UNKNOWN_LANE", ",".join(sorted(asked - set(LANES))))
+    asked = tuple(LANES if lanes is None else lanes)
+    if not asked:
+        raise PlanError("EMPTY_LANES")
+    if set(asked) - set(LANES):
+        raise PlanError("UNKNOWN_LANE", ",".join(sorted(set(asked) - set(LANES))))
+    if len(set(asked)) < len(asked):
+        raise PlanError("DUPLICATE_LANE", ",".join(asked))
     for p in periods or ():
         if not PERIOD.match(p):
             raise PlanError("BAD_PERIOD", p)
@@ -97,7 +101,7 @@ def plan_query(question: str, as_of: str, workspace_as_of: str, lanes: list[str]
     for word, other in (synonyms or {}).items():
         variants.append(re.sub(rf"\b{re.escape(word)}\b", other, question, count=1, flags=re.I))
     return Plan(
-        question, cutoff.strftime("%Y-%m-%dT%H:%M:%SZ"), tuple(x for x in LANES if x in asked), Budgets.of(top_k), tuple(dict.fromkeys(variants))[:MOST_VARIANTS],
+        question, cutoff.strftime("%Y-%m-%dT%H:%M:%SZ"), asked, Budgets.of(top_k), tuple(dict.fromkeys(variants))[:MOST_VARIANTS],
         some(entities), some(documents), some(forms), some(periods), dict(pins or {}),
     )
 

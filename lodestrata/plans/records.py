@@ -23,8 +23,8 @@ def payloads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def intent_sql(c: str) -> str:
-    cases = " ".join(f"WHEN regexp_matches(lower({c}), '\\b({'|'.join(w)})\\b') THEN '{n}'" for n, w in X.INTENTS)
-    return f"CASE {cases} ELSE 'lookup' END"
+    cases = " ".join(f"WHEN regexp_matches(lower({c}), '(^|\\W)({'|'.join(w)})(\\W|$)') THEN '{n}'" for n, w in X.INTENTS)
+    return f"CASE {cases} ELSE 'general' END"
 
 
 @query(f"SELECT id, {intent_sql('question')} AS intent FROM (SELECT DISTINCT id, question FROM manifest_entries)")
@@ -44,6 +44,18 @@ def synonym_variants(spark: SparkSession, d: str) -> DataFrame:
     return m.select("id", F.array_join(X.variants(F.col("question"), SYNONYMS), " | ").alias("variants"))
 
 
+def variants_sql(c: str) -> str:
+    each = ", ".join(f"regexp_replace({c}, '(?i)(^|\\W){w}(\\W|$)', '\\1{o}\\2')" for w, others in X.SYNONYMS.items() for o in others)
+    return f"[{c}, {each}]"
+
+
+@query(f"""SELECT DISTINCT id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:4], ' | ') AS variants FROM (SELECT id, {variants_sql('q')} AS l FROM (SELECT id, replace(replace(question, 'income', 'net income'), 'amount', 'revenue') AS q FROM manifest_entries))""")
+def question_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Questions, with words of the table worked in, in up to four wordings."""
+    q = F.replace(F.replace("question", F.lit("income"), F.lit("net income")), F.lit("amount"), F.lit("revenue"))
+    return table(spark, d, "manifest_entries").select("id", F.array_join(X.variants(q, X.SYNONYMS), " | ").alias("variants")).distinct()
+
+
 @query(r"SELECT doc_id, left(trim(regexp_replace(regexp_replace(text, '''[^'']*''', '''?''', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g'), ' '), 256) AS redacted FROM documents WHERE text IS NOT NULL")
 def redact_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", X.redact(F.col("text")).alias("redacted"))
@@ -182,7 +194,7 @@ def stream_replay(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    return streamed(spark, d, "events", lambda e: E.first_per_key(e.select("user_id", "event_type"), ["user_id", "event_type"]))
+    return streamed(spark, d, "events", lambda e: E.first_per_key(e.select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts")), ["user_id", "event_type"], "ts", "60 days").drop("ts"))
 
 
 @query("SELECT event_type, user_id, count(*) AS n, round(sum(value), 4) AS total, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY ALL")

@@ -132,10 +132,11 @@ def lane_counts(spark: SparkSession, d: str) -> DataFrame:
 def claim_fold(spark: SparkSession, d: str) -> DataFrame:
     """Questions as claims against all evaluation items of their category, folded by their best edge."""
     claims = table(spark, d, "manifest_entries").select(F.col("id").alias("claim_id"), "category", "question").distinct()
-    # words are cut before the join, once a text; a distinct keeps Spark from moving it behind
-    claims = claims.select("claim_id", "category", C.token_set(F.col("question")).alias("c"))
-    items = table(spark, d, "eval_items").select("category", C.token_set(F.col("text")).alias("s")).distinct()
-    edges = claims.join(items, "category").select("claim_id", C.edge_kind(C.shared(F.col("c"), F.col("s"))).alias("edge"))
+    claims = claims.select("claim_id", "category", F.array_sort(C.token_set(F.col("question"))).alias("words"))
+    items = table(spark, d, "eval_items").select("category", C.token_set(F.col("text")).alias("words"))
+    backed = C.word_support(claims, items, "category")
+    able = claims.join(items.select("category").distinct(), "category", "left_semi").select("claim_id").distinct()
+    edges = able.join(backed, "claim_id", "left").select("claim_id", C.edge_kind(F.coalesce("share", F.lit(0.0))).alias("edge"))
     return C.fold_claims(edges)
 
 

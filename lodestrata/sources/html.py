@@ -14,8 +14,11 @@ PARSED = (
     "text string, sections array<struct<ord int, level int, parent int, heading string, heading_path array<string>, start_char int, end_char int>>, "
     "spans array<struct<section int, start_char int, end_char int, content string>>, "
     "tables array<struct<ord int, section int, caption string, headers array<string>, rows array<array<string>>>>, "
-    "facts array<struct<concept string, context string, unit string, scale string, sign string, format string, raw string, nil boolean, start_char int, end_char int>>, diagnostics array<string>"
+    "facts array<struct<concept string, context string, unit string, scale string, sign string, format string, raw string, nil boolean, start_char int, end_char int>>, "
+    "contexts array<struct<id string, entity string, instant string, start string, end string, dimensions map<string,string>>>, units array<struct<id string, measure string>>, diagnostics array<string>"
 )
+#: Elements whose text belongs to a context or unit; they stand in the header, which isn't shown.
+TOLD = {"instant", "startdate", "enddate", "identifier", "explicitmember", "typedmember", "measure"}
 BLOCKS = {"p", "div", "li", "tr", "caption", "h1", "h2", "h3", "h4", "h5", "h6", "br", "table", "section", "article", "ul", "ol"}
 HIDDEN = {"script", "style", "head", "ix:header"}
 
@@ -30,6 +33,10 @@ class _Reader(HTMLParser):
         self.heads, self.spans, self.tables, self.facts, self.notes = [], [], [], [], []
         self.hidden, self.level, self.open_facts, self.table = 0, 0, [], []
         self.cell: list[str] | None = None
+        self.contexts, self.units = [], []
+        self.context: dict | None = None
+        self.unit: dict | None = None
+        self.told: list[str] | None = None
 
     def close_block(self) -> None:
         words = " ".join("".join(self.block).split())
@@ -52,6 +59,15 @@ class _Reader(HTMLParser):
         a = dict(attrs)
         if tag in HIDDEN:
             self.hidden += 1
+        name = tag.rsplit(":", 1)[-1]
+        if name == "context" and ":" in tag:
+            self.context = {"id": a.get("id"), "entity": None, "instant": None, "start": None, "end": None, "dimensions": {}}
+        elif name == "unit" and ":" in tag:
+            self.unit = {"id": a.get("id"), "above": [], "below": [], "under": False}
+        elif name == "unitdenominator" and self.unit:
+            self.unit["under"] = True
+        elif name in TOLD and (self.context or self.unit):
+            self.told, self.dimension = [], a.get("dimension")
         if tag in BLOCKS:
             self.close_block()
         if re.fullmatch("h[1-6]", tag):
@@ -71,6 +87,22 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
+        name = tag.rsplit(":", 1)[-1]
+        if name in TOLD and self.told is not None:
+            words, self.told = "".join(self.told).strip(), None
+            if name == "measure" and self.unit:
+                self.unit["below" if self.unit["under"] else "above"].append(words)
+            elif self.context and name in ("explicitmember", "typedmember"):
+                self.context["dimensions"][self.dimension or ""] = words
+            elif self.context:
+                self.context[{"identifier": "entity", "startdate": "start", "enddate": "end"}.get(name, name)] = words
+        elif name == "context" and self.context:
+            self.contexts.append(self.context)
+            self.context = None
+        elif name == "unit" and self.unit:
+            measure = "*".join(self.unit["above"]) + ("/" + "*".join(self.unit["below"]) if self.unit["below"] else "")
+            self.units.append({"id": self.unit["id"], "measure": measure})
+            self.unit = None
         if tag in ("ix:nonfraction", "ix:nonnumeric") and self.open_facts:
             f = self.open_facts.pop()
             f["raw"] = "".join(f.pop("parts")).strip() or None
@@ -103,6 +135,9 @@ class _Reader(HTMLParser):
             self.level = 0
 
     def handle_data(self, data: str) -> None:
+        if self.told is not None:
+            self.told.append(data)
+            return
         if self.hidden:
             return
         self.block.append(data)
@@ -116,7 +151,7 @@ def parse(markup: str | None) -> dict:
     """All that one document holds; a null or empty one holds nothing and says so."""
     r = _Reader()
     if not markup or not markup.strip():
-        return {"text": None, "sections": [], "spans": [], "tables": [], "facts": [], "diagnostics": ["EMPTY_DOCUMENT"]}
+        return {"text": None, "sections": [], "spans": [], "tables": [], "facts": [], "contexts": [], "units": [], "diagnostics": ["EMPTY_DOCUMENT"]}
     r.feed(markup)
     r.close()
     r.close_block()
@@ -129,15 +164,15 @@ def parse(markup: str | None) -> dict:
         sections.append((i, level, stack[-1][2] if stack else None, heading, path, start, end))
         stack.append((level, heading, i))
     facts = [tuple(f[k] for k in ("concept", "context", "unit", "scale", "sign", "format", "raw", "nil", "start_char", "end_char")) for f in r.facts]
-    return {"text": "\n".join(r.text), "sections": sections, "spans": r.spans, "tables": [(i, *t) for i, t in enumerate(r.tables)], "facts": facts, "diagnostics": sorted(set(r.notes))}
+    return {"text": "\n".join(r.text), "sections": sections, "spans": r.spans, "tables": [(i, *t) for i, t in enumerate(r.tables)], "facts": facts, "contexts": r.contexts, "units": r.units, "diagnostics": sorted(set(r.notes))}
 
 
 def parse_documents(documents: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, text, sections, spans, tables, facts, diagnostics), one row per document."""
+    """(id, text, sections, spans, tables, facts, contexts, units, diagnostics), one row per document."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["text", "sections", "spans", "tables", "facts", "diagnostics"]
+        names = ["text", "sections", "spans", "tables", "facts", "contexts", "units", "diagnostics"]
         for b in batches:
             rows = [parse(x) for x in b[html_col]]
             keyed = {

@@ -40,7 +40,7 @@ def put_raw(rows: DataFrame, path: str, key: str = "accession", content: str = "
 
 
 class Manifest:
-    """Published versions of a dataset in a folder: data first, then one file that names the active one.
+    """Published versions of a dataset in a folder: data first, then a numbered file that names the active one.
 
     Publishing compares the version it was based on; another publisher's change in between is an error.
     """
@@ -51,11 +51,16 @@ class Manifest:
         self._path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _last(self) -> int:
+        """The number of the newest file that names a version; 0 before the first."""
+        if not self.fs.exists(self._path(self.root)):
+            return 0
+        names = [s.getPath().getName() for s in self.fs.listStatus(self._path(self.root))]
+        return max((int(n[7:]) for n in names if n.startswith("ACTIVE-") and n[7:].isdigit()), default=0)
+
     def active(self) -> str | None:
-        p = self._path(f"{self.root}/ACTIVE")
-        if not self.fs.exists(p):
-            return None
-        return json.loads(self.spark.read.text(p.toString(), wholetext=True).first()[0])["version"]
+        last = self._last()
+        return json.loads(self.spark.read.text(f"{self.root}/ACTIVE-{last}", wholetext=True).first()[0])["version"] if last else None
 
     def write(self, rows: DataFrame, pins: dict[str, str]) -> str:
         """Writes a version; the same pins give the same version, which is then left as it is."""
@@ -65,14 +70,17 @@ class Manifest:
         return version
 
     def publish(self, version: str, based_on: str | None) -> None:
+        """Makes a version the active one by a new numbered file that names it. The file is never replaced, so of two publishers
+        who saw the same state only one can make it, and there is an active version at any time."""
+        last = self._last()
         if self.active() != based_on:
             raise RuntimeError("another version was published meanwhile")
-        fresh, final = self._path(f"{self.root}/ACTIVE.{uuid.uuid4().hex}"), self._path(f"{self.root}/ACTIVE")
-        out = self.fs.create(fresh)
+        try:
+            out = self.fs.create(self._path(f"{self.root}/ACTIVE-{last + 1}"), False)
+        except Exception as e:  # the file system says that it exists
+            raise RuntimeError("another version was published meanwhile") from e
         out.write(bytearray(json.dumps({"version": version}).encode()))
         out.close()
-        self.fs.delete(final, False)
-        self.fs.rename(fresh, final)
 
     def read(self) -> DataFrame:
         version = self.active()

@@ -15,9 +15,9 @@ from lodestrata.plans.planner import PlanError, index_spec, plan_query
 
 def test_plans_and_their_errors():
     p = plan_query(" How did revenue change? ", "2024-05-01T00:00:00Z", "2024-04-01T02:00:00+02:00", lanes=["tables", "dense"], top_k=20, synonyms={"revenue": "sales", "x": "y"}, forms=[])
-    assert p.as_of == "2024-04-01T00:00:00Z" and p.lanes == ("dense", "tables") and p.forms is None and p.budgets.context == 16
-    assert p.variants == ("How did revenue change?", "How did sales change?") and p.id() == plan_query(p.question, p.as_of, p.as_of, ["dense", "tables"], 20, {"revenue": "sales"}).id()
-    for code, kw in (("EMPTY_QUESTION", {"question": " "}), ("BAD_TOP_K", {"top_k": 0}), ("UNKNOWN_LANE", {"lanes": ["x"]}), ("BAD_PERIOD", {"periods": ["2024-Q5"]}), ("NAIVE_CUTOFF", {"as_of": "2024-01-01T00:00:00"}), ("BAD_CUTOFF", {"as_of": "soon"})):
+    assert p.as_of == "2024-04-01T00:00:00Z" and p.lanes == ("tables", "dense") and p.forms is None and p.budgets.context == 16
+    assert p.variants == ("How did revenue change?", "How did sales change?") and p.id() == plan_query(p.question, p.as_of, p.as_of, ["tables", "dense"], 20, {"revenue": "sales"}).id()
+    for code, kw in (("EMPTY_QUESTION", {"question": " "}), ("BAD_TOP_K", {"top_k": 0}), ("UNKNOWN_LANE", {"lanes": ["x"]}), ("DUPLICATE_LANE", {"lanes": ["tables", "dense", "dense"]}), ("EMPTY_LANES", {"lanes": []}), ("BAD_PERIOD", {"periods": ["2024-Q5"]}), ("NAIVE_CUTOFF", {"as_of": "2024-01-01T00:00:00"}), ("BAD_CUTOFF", {"as_of": "soon"})):
         with pytest.raises(PlanError) as e:
             plan_query(**({"question": "q", "as_of": "2024-01-01T00:00:00Z", "workspace_as_of": "2024-01-01T00:00:00Z"} | kw))
         assert e.value.code == code
