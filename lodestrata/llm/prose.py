@@ -230,9 +230,10 @@ def plain_lines(text: str) -> list[str]:
     return [x.strip() for x in text.splitlines()]
 
 
-MARK = re.compile(r"^(?:[*•‣◦▪·●○■□☐☑✓✔➢►>–—-]|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlIVXL]{1,5})[.)])[ \t]+\S", re.M)
+MARK = re.compile(r"(?:[*•‣◦▪·●○■□☐☑✓✔➢►>–—-]|\[[ xX]?\]|\(?(?:\d{1,3}|[a-zA-Z]|[ivxlIVXL]{1,5})[.)])[ \t]+\S")
 TRAIL = re.compile(r"(?:\.[ ]?\.[ ]?\.|[ ]{3}|…)[. ]*(?:[A-Z]-)?\d+$", re.M)
-NUMBER = re.compile(r"[-+(−–—$€£¥]*\d[\d.,'%)]*|[—–-]")
+# Bytes of numbers and of what may stand around them (signs, brackets, currencies and dashes in UTF-8) become one byte.
+FIGURES = bytes.maketrans("0123456789-+()$.,'%€£¥−–—".encode(), b"0" * len("0123456789-+()$.,'%€£¥−–—".encode()))
 GROUPED = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
 
 
@@ -259,13 +260,16 @@ def text_statistics(text: str | None) -> list[float] | None:
     n, k, length = len(tokens), len(lines), len(joined)
     size, bytes_ = max(1, length - n + 1), len(raw)
     count = lambda kept: (bytes_ - len(raw.translate(None, kept))) / size
-    marked = len(MARK.findall(joined)) + (len(TRAIL.findall(joined)) if "..." in joined or ". . ." in joined or "   " in joined or "…" in joined else 0)
+    figures = n - sum(map(bool, [t.strip(b"0") for t in raw.translate(FIGURES).split()])) if plain else sum(not t.encode().translate(FIGURES).strip(b"0") for t in tokens)
+    marked = sum(MARK.match(x) is not None for x in lines)
+    if "..." in joined or ". . ." in joined or "   " in joined or "…" in joined:
+        marked += len(TRAIL.findall(joined))
     return [
         math.log(n), math.log(size / n), count(LOOSE), count(SYMBOLS), count(DIGITS),
         sum(map(str.isupper, [t[0] for t in tokens])) / n, sum(x[-1] in ".!?:。！？।؟\"”»)" for x in lines) / k,
         sum(map(COMMON.__contains__, lowered)) / n, math.log(n / k), len(set(lines)) / k, min(1.0, len(set(lowered)) / n * math.log(n + 1) / 6),
         math.log(max(map(len, tokens))), 0.0 if plain else len(GARBLE.findall(joined)) / size, sentence_chars(joined) / length,
-        min(1.0, marked / k), sum(NUMBER.fullmatch(t) is not None for t in tokens if not t.isalpha()) / n, math.log1p(cell_marks(joined) / k), math.log1p(joined.count(", ") / n),
+        min(1.0, marked / k), figures / n, math.log1p(cell_marks(joined) / k), math.log1p(joined.count(", ") / n),
     ]
 
 

@@ -30,7 +30,7 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = table(spark, sf_dir, "financial_facts")
-    fields = ["label", "confidence", "source_span_id", "reported_or_derived", "common_value"]
+    fields = list(FIELD_GIVEN)
     known = in_common_units(facts, unit_conversions(spark, sf_dir)).where("common_unit is not null")
     known = known.select("id", uuid_key(F.col("document_version_id")).alias("version"), fact_key(F.col("common_unit")).alias("fact"), "ingested_at", *fields)
     rank = [F.coalesce("confidence", F.lit(-1.0)), (F.col("reported_or_derived") == "reported").cast("int"), F.col("ingested_at")]
@@ -91,6 +91,10 @@ def fits(cut_text: str) -> str:
     return f"list_max(list_transform(string_split({cut_text}, chr(1)), lambda x: length(regexp_replace(x, '{STRIP}', '', 'g')))) <= {LIMIT}"
 
 
+#: Fields of a record, and when it gives them.
+FIELD_GIVEN = {"label": "trim(label) <> ''", "confidence": "confidence IS NOT NULL", "source_span_id": "trim(source_span_id) <> ''", "reported_or_derived": "trim(reported_or_derived) <> ''", "common_value": "common_value IS NOT NULL"}
+
+
 def oracle_sql() -> dict[str, str]:
     paragraph = rf"regexp_replace(replace(content, chr(13) || chr(10), chr(2) || chr(10)), '{BREAK}({BLANK}*{BREAK})+', chr(1), 'g')"
     line = rf"regexp_replace({paragraph}, '{BREAK}', chr(1), 'g')"
@@ -102,5 +106,12 @@ def oracle_sql() -> dict[str, str]:
         "p7_found": f"""WITH {LABELS}, {FACTS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY version, {FACT} ORDER BY confidence DESC NULLS LAST, CASE reported_or_derived WHEN 'reported' THEN 0 ELSE 1 END, ingested_at DESC, id) AS n FROM facts WHERE version IS NOT NULL)
 SELECT min(id) AS group_id, arg_min(id, n) AS survivor_id, coalesce(arg_min(id, n) FILTER (trim(label) <> ''), '') AS label_from
+FROM ranked GROUP BY version, {FACT} HAVING count(DISTINCT id) > 1""",
+        "p7_records": f"""WITH {LABELS}, {FACTS}, shifts AS (SELECT DISTINCT f.id, f.source_span_id, f.value LIKE '-%' AS negative, replace(replace(f.value, '-', ''), '.', '') AS digits,
+  coalesce(f.scale, 0) + l.power - CASE WHEN contains(f.value, '.') THEN length(split_part(f.value, '.', 2)) ELSE 0 END AS e FROM financial_facts f JOIN unit_labels l ON lower(trim(f.unit)) = l.label),
+padded AS (SELECT *, CASE WHEN e >= 0 THEN digits || repeat('0', e) || '.' ELSE left(lpad(digits, greatest(length(digits), 1 - e)::INTEGER, '0'), greatest(length(digits), 1 - e) + e) || '.' || right(lpad(digits, greatest(length(digits), 1 - e)::INTEGER, '0'), -e) END AS t FROM shifts),
+told AS (SELECT id, source_span_id, CASE WHEN regexp_full_match(digits, '0*') THEN '0' ELSE CASE WHEN negative THEN '-' ELSE '' END || regexp_replace(rtrim(rtrim(t, '0'), '.'), '^0+([0-9])', '\\1') END AS common_value FROM padded),
+ranked AS (SELECT f.*, t.source_span_id, t.common_value, row_number() OVER (PARTITION BY version, {FACT} ORDER BY confidence DESC NULLS LAST, CASE reported_or_derived WHEN 'reported' THEN 0 ELSE 1 END, ingested_at DESC, f.id) AS n FROM facts f JOIN told t ON f.id = t.id WHERE version IS NOT NULL)
+SELECT min(id) AS group_id, arg_min(id, n) AS survivor_id, {", ".join(f"arg_min({c}, n) FILTER ({w}) AS {c}, arg_min(id, n) FILTER ({w}) AS {c}_from" for c, w in FIELD_GIVEN.items())}
 FROM ranked GROUP BY version, {FACT} HAVING count(DISTINCT id) > 1""",
     }
