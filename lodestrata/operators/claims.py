@@ -42,6 +42,11 @@ def fold_claims(edges: DataFrame, claim: str = "claim_id", kind: str = "edge") -
     return edges.groupBy(claim).agg(status.alias("status"))
 
 
+def claims_of(text: Column) -> Column:
+    """The sentences of a text, each a claim as it stands; blank ones are none."""
+    return F.filter(F.transform(F.regexp_extract_all(text, F.lit("[^.!?]+[.!?]*"), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def word_support(claims: DataFrame, items: DataFrame, scope: str, partial: float = 0.5) -> DataFrame:
     """(claim_id, share): the greatest share of each claim's words that one item of its scope has, where it is at least ``partial``.
 

@@ -60,6 +60,17 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame
     return df.withColumn(name, inner).join(sums, [*keys, "__range"], "left").withColumn(name, F.col(name) + F.coalesce("__b", F.lit(0))).drop("__b")
 
 
+def running_max_before(df: DataFrame, keys: list[str], order: list[str], hot: DataFrame | None, value: str, name: str) -> DataFrame:
+    """Adds the greatest ``value`` of the rows before each, in ``hot`` keys within its range and over the ranges before it; null for the first."""
+    inner = F.max(value).over(Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    if hot is None:
+        return df.withColumn(name, inner)
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    tops = df.where(F.col("__range").isNotNull()).groupBy(*keys, "__range").agg(F.max(value).alias("__m"))
+    tops = tops.select(*keys, "__range", F.max("__m").over(earlier).alias("__b"))
+    return df.withColumn(name, inner).join(tops, [*keys, "__range"], "left").withColumn(name, F.greatest(name, "__b")).drop("__b")
+
+
 def attribute_hash(attributes: list[str]) -> Column:
     """128-bit digest of all attributes together; nulls differ from every value."""
     return F.md5(F.to_json(F.struct(*attributes), {"ignoreNullFields": "false"}))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.decimals import let, shifted
 from lodestrata.functions.ids import uuid5
+from lodestrata.operators.history import neighbours, ranged
+from lodestrata.operators.hot import TASK_ROWS, hot_keys
 from lodestrata.operators.spans import span_code
 
 # Number formats of inline facts (all others are refused), dashes that mean zero, and reasons for which a filing is set aside.
@@ -116,3 +118,14 @@ def index_items(spans: DataFrame, texts: DataFrame, facts: DataFrame, index_vers
     name = F.concat_ws("|", F.lit(index_version), F.col("kind"), F.coalesce("financial_fact_id", F.lit("-")), "source_span_id")
     items = both.where("code is null").drop("code").withColumn("item_id", uuid5(SPACE, name))
     return items, both.where("code is not null")
+
+
+def value_links(facts: DataFrame, keys: list[str], order: list[str], value: str, id_col: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(id, link, prior): each fact against the one before it under its keys: new, repeats or restates, and which one.
+
+    ``order`` ends in the unique id. Keys with very many facts are sorted range by range.
+    """
+    hot = hot_keys(facts, keys, task_rows)
+    f = neighbours(ranged(facts, keys, order, hot, task_rows), keys, order, hot, before={"prior": id_col, "__value": value})
+    link = F.when(F.col("prior").isNull(), "new").when(F.col("__value").eqNullSafe(F.col(value)), "repeats").otherwise("restates")
+    return f.select(id_col, link.alias("link"), "prior")

@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.history import ranged, running_sum
+from lodestrata.operators.hot import TASK_ROWS, hot_keys
+
 
 def violations(rows: DataFrame, key: str, checks: dict[str, Column]) -> DataFrame:
     """(check, key): rows that break a condition. A condition that is null isn't broken."""
@@ -136,3 +139,13 @@ def exact_quantile(rows: DataFrame, keys: list[str], value: str, share: float, n
     w = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
     summed = counted.withColumn("__sum", F.sum("__c").over(w)).where(F.col("__v").isNotNull() & (F.col("__sum") >= F.col("__n") * share))
     return summed.groupBy(*keys).agg(F.min("__v").alias(name))
+
+
+def budget(charges: DataFrame, user: str, order: str, amount: str, limit: float, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Adds ``spent`` (what the user spent up to and with a charge, to 4 places) and ``verdict``: allowed, or blocked once the limit is passed.
+
+    ``order`` is unique; users with very many charges are summed range by range.
+    """
+    hot = hot_keys(charges, [user], task_rows)
+    summed = running_sum(ranged(charges, [user], [order], hot, task_rows), [user], [order], hot, amount, "spent").drop("__range")
+    return summed.withColumn("spent", F.round("spent", 4)).withColumn("verdict", F.when(F.col("spent") > limit, "blocked").otherwise("allowed"))

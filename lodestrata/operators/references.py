@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import HEX32
+from lodestrata.operators.hot import spread_join
 
 #: Parent keys are compared as 128-bit numbers; aligned ranges of 16^3 neighbours stay together.
 TAIL = 3
@@ -60,7 +61,7 @@ def broken_references(refs: DataFrame, parents: DataFrame) -> DataFrame:
     states = reference_states(refs.select("key", "t"), parents)
     suspects = states.where(~F.col("found") | (F.col("written") > F.col("t_min")) | (F.col("gone") <= F.col("t_max"))).select("key", "found", "written", "gone")
     kind = F.when(~F.col("found"), "missing").when(F.col("written") > F.col("t"), "late").when(F.col("gone") <= F.col("t"), "deleted")
-    return refs.join(suspects, "key").select("row_id", "key", "t", kind.alias("kind")).where(F.col("kind").isNotNull()).distinct()
+    return spread_join(refs, suspects, ["key"]).select("row_id", "key", "t", kind.alias("kind")).where(F.col("kind").isNotNull()).distinct()
 
 
 def reference_report(broken: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from lodestrata.functions.ids import accession_key, uuid_key
 from lodestrata.operators import benchmark as B
 from lodestrata.operators import claims as C
 from lodestrata.operators import fulltext, vectors
+from lodestrata.operators import ingest as I
 from lodestrata.operators import payloads as P
 from lodestrata.operators import quality as Q
 from lodestrata.operators import retrieval as R
@@ -28,7 +29,7 @@ def digits(c: str) -> str:
     return f"nullif(regexp_replace({c}, '[^0-9]', '', 'g'), '')"
 
 
-def lanes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+def lanes(spark: SparkSession, d: str, *columns: str | Column) -> DataFrame:
     return table(spark, d, "lane_candidates").select(*columns).distinct()
 
 
@@ -322,3 +323,55 @@ def report_totals(spark: SparkSession, d: str) -> DataFrame:
     r = table(spark, d, "orders").rollup("o_orderstatus").agg(F.grouping("o_orderstatus").alias("whole"), F.count("*").alias("n"), F.sum("o_custkey").alias("s"))
     part = lambda c, w: F.sum(F.when(F.col("whole") == w, F.col(c)))
     return r.agg(part("n", 0).alias("n"), part("s", 0).alias("s"), ((part("n", 0) == part("n", 1)) & (part("s", 0) == part("s", 1))).alias("consistent"))
+
+
+@query("SELECT run_id, CAST(to_json({'run_id': run_id, 'rows': list({'lane': lane, 'rank': lane_rank, 'item': item_id} ORDER BY lane, lane_rank, item_id)}) AS VARCHAR) AS trace FROM (SELECT DISTINCT run_id, lane, lane_rank, item_id FROM lane_candidates) GROUP BY 1")
+def trace_json(spark: SparkSession, d: str) -> DataFrame:
+    """The trace of a run as one JSON text that is the same whenever it is made."""
+    c = lanes(spark, d, "run_id", "lane", F.col("lane_rank").alias("rank"), F.col("item_id").alias("item"))
+    rows = F.array_sort(F.collect_list(F.struct("lane", "rank", "item")))
+    return c.groupBy("run_id").agg(rows.alias("rows")).select("run_id", F.to_json(F.struct("run_id", "rows")).alias("trace"))
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) AS spent, CASE WHEN round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 4) > 1000 THEN 'blocked' ELSE 'allowed' END AS verdict FROM events")
+def budget_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Charges in their order, each with what was spent by then and whether it is still allowed."""
+    return Q.budget(table(spark, d, "events"), "user_id", "event_id", "value", 1000).select("event_id", "spent", "verdict")
+
+
+@query("SELECT user_id, event_type, max(event_id) AS current_id, count(*) - 1 AS n_superseded FROM events GROUP BY ALL")
+def current_feedback(spark: SparkSession, d: str) -> DataFrame:
+    """Feedback is only ever added: the last entry of a key counts and supersedes the others."""
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("current_id"), (F.count("*") - 1).alias("n_superseded"))
+
+
+@query("""WITH f AS (SELECT DISTINCT id, entity_id, fact_key, value, ingested_at FROM financial_facts WHERE fact_key IS NOT NULL AND entity_id IS NOT NULL), l AS (SELECT id, value, lag(id) OVER w AS prior, lag(value) OVER w AS before FROM f WINDOW w AS (PARTITION BY entity_id, fact_key ORDER BY ingested_at, id))
+  SELECT id, CASE WHEN prior IS NULL THEN 'new' WHEN before IS NOT DISTINCT FROM value THEN 'repeats' ELSE 'restates' END AS link, prior FROM l""")
+def ingest_links(spark: SparkSession, d: str) -> DataFrame:
+    """Facts in the order they came in, each linked to the one it repeats or restates."""
+    f = table(spark, d, "financial_facts").where("fact_key is not null and entity_id is not null").select("id", "entity_id", "fact_key", "value", "ingested_at").distinct()
+    return I.value_links(f, ["entity_id", "fact_key"], ["ingested_at", "id"], "value", "id")
+
+
+@query("SELECT item_id, len(s) AS n_claims, array_to_string(s, '|') AS claims FROM (SELECT item_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: trim(x)), lambda x: x <> '') AS s FROM eval_items)")
+def mock_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Texts taken apart into claims as they stand, a sentence each."""
+    s = C.claims_of(F.col("text"))
+    return table(spark, d, "eval_items").select("item_id", F.size(s).cast("bigint").alias("n_claims"), F.array_join(s, "|").alias("claims"))
+
+
+@query("WITH s AS (SELECT category, count(*) AS n, count(*) FILTER (answerable) AS k FROM (SELECT DISTINCT id, category, answerable FROM manifest_entries) GROUP BY 1) SELECT category AS metric, category || ': ' || printf('%.4f', k / n) || ' of ' || n || CASE WHEN k / n >= 0.9 THEN ' passed' ELSE ' failed' END AS line FROM s")
+def gate_report(spark: SparkSession, d: str) -> DataFrame:
+    """The verdicts of the gates as lines of a report, to 4 places."""
+    m = table(spark, d, "manifest_entries").select("id", "category", "answerable").distinct().groupBy(F.col("category").alias("metric")).agg(F.count_if("answerable").alias("k"), F.count("*").alias("n"))
+    share = F.col("k") / F.col("n")
+    return m.select("metric", F.concat("metric", F.lit(": "), F.format_string("%.4f", share), F.lit(" of "), F.col("n").cast("string"), F.when(share >= 0.9, " passed").otherwise(" failed")).alias("line"))
+
+
+@query(f"SELECT DISTINCT doc_id, published_at <= TIMESTAMPTZ '2022-06-30 12:00:00+00' AND {digits('accession')} IN (SELECT {digits('a')} FROM (SELECT unnest(documents_reviewed) AS a FROM manifest_entries) WHERE {digits('a')} IS NOT NULL) AS cited FROM documents WHERE published_at IS NOT NULL AND {digits('accession')} IS NOT NULL")
+def cited_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents known by the cutoff that an entry cites."""
+    acc = table(spark, d, "manifest_entries").select(F.explode("documents_reviewed").alias("a")).select(accession_key(F.col("a")).alias("acc")).where("acc is not null").distinct().withColumn("__in", F.lit(True))
+    docs = documents(spark, d).select("doc_id", "published_at", accession_key(F.col("accession")).alias("acc")).where("published_at is not null and acc is not null")
+    known = F.col("published_at") <= F.lit("2022-06-30 12:00:00").cast("timestamp")
+    return docs.join(acc, "acc", "left").select("doc_id", (known & F.col("__in").isNotNull()).alias("cited")).distinct()

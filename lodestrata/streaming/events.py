@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lodestrata.operators.history import neighbours, ranged, running_max_before
+from lodestrata.operators.hot import TASK_ROWS, hot_keys
+
 # States of a run and where each may lead.
 TRANSITIONS = {
     "queued": ("planning", "cancelled", "failed"), "planning": ("retrieving", "failed", "cancelled"), "retrieving": ("fusing", "failed", "cancelled"),
@@ -55,24 +58,26 @@ def stale(jobs: DataFrame, now: Column, seconds: int = 60) -> DataFrame:
     return jobs.where((F.col("status") == "running") & (F.col("heartbeat_at") < now - F.expr(f"INTERVAL {seconds} SECONDS")))
 
 
-def gaps(events: DataFrame, run: str, seq: str) -> DataFrame:
-    """(run, seq, expected): events whose number doesn't follow the one before (the first must be 1)."""
-    w = Window.partitionBy(run).orderBy(seq)
-    return events.withColumn("expected", F.coalesce(F.lag(seq).over(w), F.lit(0)) + 1).where(F.col(seq) != F.col("expected")).select(run, seq, "expected")
+def gaps(events: DataFrame, run: str, seq: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """(run, seq, expected): events whose number doesn't follow the one before (the first must be 1). Runs of any length are sorted range by range."""
+    hot = hot_keys(events, [run], task_rows)
+    e = neighbours(ranged(events, [run], [seq], hot, task_rows), [run], [seq], hot, before={"__last": seq})
+    return e.withColumn("expected", F.coalesce("__last", F.lit(0)) + 1).where(F.col(seq) != F.col("expected")).select(run, seq, "expected")
 
 
-def accepted(events: DataFrame, run: str, arrival: str, seq: str) -> DataFrame:
+def accepted(events: DataFrame, run: str, arrival: str, seq: str, task_rows: int = TASK_ROWS) -> DataFrame:
     """Events numbered above all that arrived before them in their run."""
-    w = Window.partitionBy(run).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return events.withColumn("__m", F.max(seq).over(w)).where(F.col("__m").isNull() | (F.col(seq) > F.col("__m"))).drop("__m")
+    hot = hot_keys(events, [run], task_rows)
+    e = running_max_before(ranged(events, [run], [arrival], hot, task_rows), [run], [arrival], hot, seq, "__m")
+    return e.where(F.col("__m").isNull() | (F.col(seq) > F.col("__m"))).drop("__m", "__range")
 
 
-def illegal_steps(log: DataFrame, run: str, seq: str, status: str, allowed: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def illegal_steps(log: DataFrame, run: str, seq: str, status: str, allowed: dict[str, tuple[str, ...]] | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
     """(run, seq, before, status): steps the state machine doesn't know; every run starts queued."""
     allowed = TRANSITIONS if allowed is None else allowed
     start = next(iter(allowed))
-    w = Window.partitionBy(run).orderBy(seq)
-    stepped = log.withColumn("before", F.lag(status).over(w))
+    hot = hot_keys(log, [run], task_rows)
+    stepped = neighbours(ranged(log, [run], [seq], hot, task_rows), [run], [seq], hot, before={"before": status})
     legal = F.when(F.col("before").isNull(), F.col(status) == start).otherwise(F.lit(False))
     for a, to in allowed.items():
         legal = legal | ((F.col("before") == a) & F.col(status).isin(*to))
