@@ -7,12 +7,15 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.plans.tables import cut
+
 CELL_END = re.compile(r"</t[dh]\s*>\s*<t[dh][^<>]*>", re.I)
 ROW_END = re.compile(r"</(?:tr|p|div|li|h[1-6])\s*>|<br\s*/?>", re.I)
 ITEM = re.compile(r"<li[^<>]*>", re.I)
@@ -234,7 +237,8 @@ MARK = re.compile(r"(?:[*•‣◦▪·●○■□☐☑✓✔➢►>–—-]|\
 TRAIL = re.compile(r"(?:\.[ ]?\.[ ]?\.|[ ]{3}|…)[. ]*(?:[A-Z]-)?\d+$", re.M)
 # Bytes of numbers and of what may stand around them (signs, brackets, currencies and dashes in UTF-8) become one byte.
 FIGURES = bytes.maketrans("0123456789-+()$.,'%€£¥−–—".encode(), b"0" * len("0123456789-+()$.,'%€£¥−–—".encode()))
-GROUPED = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
+GROUPED = re.compile(r",(?=\d{3}(?!\d))")
+FIGURE = re.compile(rb"\s0+(?=\s)")
 
 
 def cell_marks(text: str) -> int:
@@ -255,20 +259,19 @@ def text_statistics(text: str | None) -> list[float] | None:
         return None
     lines = [x for x in plain_lines(text) if x] or [text.strip()]
     joined = "\n".join(lines)
-    plain = joined.isascii()
-    raw, tokens, lowered = joined.encode(), joined.split(), joined.lower().split()
+    raw, tokens = joined.encode(), joined.split()
     n, k, length = len(tokens), len(lines), len(joined)
     size, bytes_ = max(1, length - n + 1), len(raw)
     count = lambda kept: (bytes_ - len(raw.translate(None, kept))) / size
-    figures = n - sum(map(bool, [t.strip(b"0") for t in raw.translate(FIGURES).split()])) if plain else sum(not t.encode().translate(FIGURES).strip(b"0") for t in tokens)
+    figures = len(FIGURE.findall(b" %s " % raw.translate(FIGURES)))
     marked = sum(MARK.match(x) is not None for x in lines)
     if "..." in joined or ". . ." in joined or "   " in joined or "…" in joined:
         marked += len(TRAIL.findall(joined))
     return [
         math.log(n), math.log(size / n), count(LOOSE), count(SYMBOLS), count(DIGITS),
-        sum(map(str.isupper, [t[0] for t in tokens])) / n, sum(x[-1] in ".!?:。！？।؟\"”»)" for x in lines) / k,
-        sum(map(COMMON.__contains__, lowered)) / n, math.log(n / k), len(set(lines)) / k, min(1.0, len(set(lowered)) / n * math.log(n + 1) / 6),
-        math.log(max(map(len, tokens))), 0.0 if plain else len(GARBLE.findall(joined)) / size, sentence_chars(joined) / length,
+        sum(map(str.isupper, map(itemgetter(0), tokens))) / n, sum(x[-1] in ".!?:。！？।؟\"”»)" for x in lines) / k,
+        sum(map(COMMON.__contains__, tokens)) / n, math.log(n / k), len(set(lines)) / k, min(1.0, len(set(tokens)) / n * math.log(n + 1) / 6),
+        math.log(max(map(len, tokens))), len(GARBLE.findall(joined)) / size if any(map(joined.__contains__, "ÃÂâïð�")) else 0.0, sentence_chars(joined) / length,
         min(1.0, marked / k), figures / n, math.log1p(cell_marks(joined) / k), math.log1p(joined.count(", ") / n),
     ]
 
@@ -414,24 +417,34 @@ def named_outliers(parts: np.ndarray) -> np.ndarray:
     return np.where(parts.sum(axis=1) > FAR, np.array(list(KIND_STATS), dtype=object)[speak.argmax(axis=1)], None)
 
 
-def no_prose(documents: DataFrame, id_col: str, text_col: str, lang_col: str, prose: Prose) -> DataFrame:
+def outliers(stats: DataFrame, prose: Prose) -> DataFrame:
+    """(id, kind): the documents beyond :data:`FAR` from their language's prose, each with its kind."""
+    kind = stats.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                kinds = named_outliers(prose.contributions(list(b["language"]), np.stack(b["stats"].to_numpy())))
+                far = np.array([k is not None for k in kinds])
+                yield pd.DataFrame({"id": b["id"].to_numpy()[far], "kind": kinds[far]})
+
+    return stats.mapInPandas(run, f"id {kind}, kind string")
+
+
+def no_prose(documents: DataFrame, id_col: str, text_col: str, stats: DataFrame, prose: Prose) -> DataFrame:
     """(id, kind): documents most of whose text is a list, a table or junk.
 
     A document beyond :data:`FAR` from its language's prose is an outlier; the kind is the one whose
     statistics have the greatest part in its distance, by sign. As prose can be unusual too (short, in capitals, with
     a table in it), an exact check of outliers follows: the lines that are entries, rows or noise must
-    make up more than half of the text. Null and blank texts give no row; repeated rows one.
+    make up more than half of the text. Null and blank texts give no row; repeated rows one. ``stats`` comes from :func:`document_statistics`;
+    ids are unique.
     """
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            known = [(i, t, language(g), s) for i, t, g in zip(b["id"], b["text"], b["lang"]) if (s := text_statistics(t)) is not None]
-            if not known:
-                continue
-            kinds = named_outliers(prose.contributions([k[2] for k in known], np.array([k[3] for k in known])))
-            found = [(i, k) for (i, t, _, _), k in zip(known, kinds) if k is not None and sum(shares(plain_lines(t)).values()) > MOST]
-            yield pd.DataFrame(found, columns=["id", "kind"])
+            yield b.loc[[sum(shares(plain_lines(t)).values()) > MOST for t in b["text"]], ["id", "kind"]]
 
-    some = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull())
-    return some.mapInPandas(run, f"id {kind}, kind string")
+    some = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    return some.join(cut(outliers(stats, prose)), "id").mapInPandas(run, f"id {kind}, kind string").distinct()

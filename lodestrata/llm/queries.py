@@ -10,7 +10,7 @@ from lodestrata.llm import leakage, pieces, prose, survivors, tokens
 from lodestrata.operators.units import in_common_units
 from lodestrata.plans.problems import fact_key, unit_conversions
 from lodestrata.plans.problems_sql import FACT, FACTS, LABELS
-from lodestrata.plans.tables import cut, remove, table
+from lodestrata.plans.tables import cut, table
 
 #: Size of a piece and what consecutive pieces share, in characters.
 LIMIT, OVERLAP = 1000, 100
@@ -65,9 +65,7 @@ def prose_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = prose_statistics(spark, sf_dir)
-    fitted = prose.fit_prose(stats)
-    remove(stats)
-    return prose.no_prose(table(spark, sf_dir, "documents"), "doc_id", "text", "lang", fitted).select(F.col("id").alias("doc_id"), "kind").distinct()
+    return prose.no_prose(table(spark, sf_dir, "documents"), "doc_id", "text", stats, prose.fit_prose(stats)).select(F.col("id").alias("doc_id"), "kind")
 
 
 def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:

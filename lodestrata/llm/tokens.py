@@ -75,6 +75,7 @@ class ByteBpe(dict):
         return known
 
     def _beside(self, a: int, b: int) -> bool:
+        """The pair test of the published backtracking encoding of byte pairs, with its seam walked from the outside in."""
         bound = None
         while True:
             joined = self.merged.get((a, b))

@@ -37,7 +37,7 @@ def test_kinds_and_layouts_of_prose(spark):
     documents = spark.createDataFrame([(*x, "clash") for x in rows], "doc_id long, text string, lang string, kind string")
     stats = document_statistics(documents, "doc_id", "text", "lang").cache()
     fitted = fit_prose(stats)
-    got = {x["id"]: x["kind"] for x in no_prose(documents, "doc_id", "text", "lang", fitted).collect()}
+    got = {x["id"]: x["kind"] for x in no_prose(documents, "doc_id", "text", stats, fitted).collect()}
     assert got == want
     parts = outlierness(stats, fitted).first()
     assert sum(parts[f"{s}_part"] for s in STATS) == pytest.approx(parts["distance"] ** 2)
@@ -53,7 +53,8 @@ def test_statistics_of_odd_texts():
 
 def found(spark, rows):
     documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    return {tuple(x) for x in no_prose(documents, "doc_id", "text", "lang", fit_prose(document_statistics(documents, "doc_id", "text", "lang"))).collect()}
+    stats = document_statistics(documents, "doc_id", "text", "lang")
+    return {tuple(x) for x in no_prose(documents, "doc_id", "text", stats, fit_prose(stats)).collect()}
 
 
 def test_empty_table(spark):
