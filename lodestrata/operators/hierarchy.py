@@ -273,14 +273,14 @@ def hierarchy(nodes: DataFrame, with_paths: bool = False, block_rows: int = BLOC
     and links may lead anywhere.
     """
     out = ["id", "root", "depth", "lo", "hi", "looped", *(["path"] if with_paths else [])]
-    nodes = cut(nodes if "block" in nodes.columns else nodes.withColumn("block", F.col("id").cast("string")))
+    nodes = cut(nodes if "block" in nodes.columns else nodes.withColumn("block", F.xxhash64("id")))
     n = nodes.count()
     blocks = lambda rows: max(-(-rows // block_rows), min(rows // 20_000 + 1, nodes.sparkSession.sparkContext.defaultParallelism))
     hot = hot_counts(nodes.where(F.col("block").isNotNull()).select("block"), ["block"], block_rows // 2)
-    key, placed = F.coalesce("block", F.col("id").cast("string")), nodes
+    key, placed = F.when(F.col("block").isNull(), F.xxhash64("id")).otherwise(F.xxhash64("block")), nodes
     if hot is not None:
         placed = nodes.join(hot.select("block", F.ceil(F.col("__rows") * 2 / block_rows).alias("__parts")), "block", "left")
-        key = F.concat_ws("|", key, F.pmod(F.xxhash64("id"), F.coalesce("__parts", F.lit(1))).cast("string"))
+        key = F.xxhash64(key, F.pmod(F.xxhash64("id"), F.coalesce("__parts", F.lit(1))))
     first = cut(solved(placed, key, blocks(n), with_paths), drop=nodes)
     outside = first.where("outside").select(F.col("id"), F.col("parent").alias("up"))
     edges = cut(spread_join(outside, first.select(F.col("id").alias("up"), "root"), ["up"]).select("id", F.col("root").alias("up")))

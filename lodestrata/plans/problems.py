@@ -48,7 +48,7 @@ def section_id(c: str) -> Column:
 
 def section_links(spark: SparkSession, sf_dir: str, headings: bool) -> DataFrame:
     s = table(spark, sf_dir, "sections")
-    return H.links(s, packed(uuid_key(F.col("id"))), packed(uuid_key(F.col("parent_id"))), F.col("heading") if headings else None, uuid_key(F.col("document_version_id")))
+    return H.links(s, packed(uuid_key(F.col("id"))), packed(uuid_key(F.col("parent_id"))), F.col("heading") if headings else None, F.xxhash64("document_version_id"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
