@@ -63,14 +63,6 @@ def index_item_counts(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy("kind", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("""WITH q AS (SELECT item_id, category, left(text, 60) AS quote FROM eval_items), s AS (SELECT item_id AS span_id, category, text FROM eval_items), h AS (SELECT q.item_id, count(DISTINCT s.span_id) AS n, min(s.span_id) AS s FROM q JOIN s ON q.category = s.category AND contains(s.text, q.quote) GROUP BY 1)
-  SELECT q.item_id AS quote_id, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN s END AS span_id, CASE WHEN coalesce(n, 0) = 0 THEN 'UNRESOLVED_QUOTE' WHEN n > 1 THEN 'AMBIGUOUS_QUOTE' END AS code FROM q LEFT JOIN h ON q.item_id = h.item_id""")
-def quote_resolution(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "eval_items")
-    quotes = e.select(F.col("item_id").alias("quote_id"), F.lit("all").alias("accession"), F.col("category").alias("section"), F.left("text", F.lit(60)).alias("quote"))
-    return B.resolve_quotes(quotes, e.select(F.lit("all").alias("accession"), F.col("category").alias("section"), F.col("item_id").alias("span_id"), "text"))
-
-
 @query("""WITH h AS (SELECT e.item_id AS quote_id, regexp_replace(d.accession, '[^0-9]', '', 'g') AS accession, count(DISTINCT d.doc_id) AS n, min(d.doc_id) AS s FROM eval_items e JOIN documents d ON e.text <> '' AND contains(d.text, e.text) GROUP BY ALL)
   SELECT e.item_id AS quote_id, accession, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN s END AS span_id, CASE WHEN n IS NULL THEN 'UNRESOLVED_QUOTE' WHEN n > 1 THEN 'AMBIGUOUS_QUOTE' END AS code FROM (SELECT DISTINCT item_id FROM eval_items) e LEFT JOIN h ON e.item_id = h.quote_id""")
 def quote_occurrences(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from lodestrata.functions import texts as X
 from lodestrata.operators import claims as C
 from lodestrata.operators import payloads as P
 from lodestrata.plans.registry import Registry
-from lodestrata.plans.tables import shared_folder, table
+from lodestrata.plans.tables import remove_path, shared_folder, table
 from lodestrata.streaming import events as E
 
 query = Registry()
@@ -184,6 +184,7 @@ def streamed(spark: SparkSession, d: str, name: str, plan) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     out = plan(source)
     E.run_available(out, f"{folder}/out", f"{folder}/state")
+    remove_path(spark, f"{folder}/state")  # all there is has been read; nothing resumes from it
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 

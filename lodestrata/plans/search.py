@@ -51,28 +51,13 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     return R.ranked(top, [], [F.col("score").desc(), F.col("item_id")])
 
 
-@query(f"""WITH {E_SQL}, {LEXICAL_SQL}, den AS (SELECT v.vec_id AS item_id, round({DISTANCE_SQL.replace('(a,', '(v.a,').replace('(b,', '(q.a,').replace('product(v.a, b)', 'product(v.a, q.a)')}, 6) + 0.0 AS distance FROM e v CROSS JOIN (SELECT * FROM e WHERE vec_id = 50) q),
-  lanes AS (SELECT item_id, r FROM (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS r FROM lex) WHERE r <= 100 UNION ALL SELECT item_id, r FROM (SELECT item_id, row_number() OVER (ORDER BY distance, item_id) AS r FROM den) WHERE r <= 100),
-  fused AS (SELECT item_id, CAST(sum(CAST(round(1::DOUBLE / (60 + r), 12) AS DECIMAL(13,12))) AS DECIMAL(16,12)) AS fused_score FROM lanes GROUP BY 1)
-  SELECT item_id, CAST(fused_score AS DOUBLE) AS fused_score, fused_rank, CASE WHEN fused_rank <= 16 THEN 'accepted' ELSE 'beyond_context_budget' END AS decision FROM (SELECT *, CAST(row_number() OVER (ORDER BY fused_score DESC, item_id) AS INTEGER) AS fused_rank FROM fused) WHERE fused_rank <= 100""")
-def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    """Dense and lexical lanes over the same ids, fused; the first 16 make the context."""
-    e = table(spark, d, "embeddings")
-    asked = e.where("vec_id = 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    dense = R.exact_knn(e, asked, "vec_id", "embedding", 100).select("item_id", F.lit("dense").alias("lane"), F.col("rank").alias("lane_rank"))
-    lexical = lexical_topk(spark, d).select("item_id", F.lit("lexical").alias("lane"), F.col("rank").alias("lane_rank"))
-    both = dense.unionByName(lexical).withColumns({"run_id": F.lit("q"), "provenance": F.col("item_id").cast("string")})
-    fused, _ = R.fuse(both)
-    return R.context(R.rerank(fused), 16).drop("run_id").withColumn("fused_score", F.col("fused_score").cast("double"))
-
-
 @query(f"""WITH {E_SQL}, {LEXICAL_SQL}, {PAIRS_SQL}, lex_lane AS (SELECT item_id, r FROM (SELECT item_id, row_number() OVER (ORDER BY score DESC, item_id) AS r FROM lex) WHERE r <= 100),
   lanes AS (SELECT q.vec_id AS query_id, item_id, r FROM lex_lane CROSS JOIN (SELECT vec_id FROM e WHERE vec_id % 50 = 0) q UNION ALL SELECT query_id, item_id, r FROM (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, item_id) AS r FROM pairs) WHERE r <= 100),
   fused AS (SELECT query_id, item_id, CAST(sum(CAST(round(1::DOUBLE / (60 + r), 12) AS DECIMAL(13,12))) AS DECIMAL(16,12)) AS fused_score FROM lanes GROUP BY ALL)
   SELECT query_id, item_id, CAST(fused_score AS DOUBLE) AS fused_score, fused_rank, CASE WHEN fused_rank <= 16 THEN 'accepted' ELSE 'beyond_context_budget' END AS decision
   FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, item_id) AS INTEGER) AS fused_rank FROM fused) WHERE fused_rank <= 100""")
 def hybrid_rrf_queries(spark: SparkSession, d: str) -> DataFrame:
-    """hybrid_rrf for every vector whose id is divisible by 50: its own dense lane, fusion and context; the terms are the same for all."""
+    """Dense and lexical lanes over the same ids, fused for every vector whose id is divisible by 50: each has its own dense lane, fusion and context; the terms are the same for all."""
     asked = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"))
     dense = neighbours(spark, d, 100).select("query_id", "item_id", F.lit("dense").alias("lane"), F.col("rank").alias("lane_rank"))
     lexical = lexical_topk(spark, d).crossJoin(asked).select("query_id", "item_id", F.lit("lexical").alias("lane"), F.col("rank").alias("lane_rank"))

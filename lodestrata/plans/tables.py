@@ -52,7 +52,9 @@ def cut(df: DataFrame, drop: DataFrame | None = None) -> DataFrame:
 
 def remove(df: DataFrame) -> None:
     """Delete the files behind a result of :func:`cut`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df._cut_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove_path(df.sparkSession, df._cut_path)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

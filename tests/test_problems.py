@@ -44,7 +44,7 @@ def empty(spark, tmp_path_factory):
     shutil.rmtree(d)
 
 
-@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p5_found", "p6_found", "hybrid_rrf", "span_segments", "amendment_chains"])
+@pytest.mark.parametrize("name", ["p1_found", "p2_found", "p3_found", "p5_found", "p6_found", "hybrid_rrf_queries", "index_knn", "sibling_summary", "fulltext_topk", "claim_fold", "span_segments", "amendment_chains"])
 def test_empty_tables(spark, empty, name):
     assert entry.queries()[name](spark, empty).count() == 0
 

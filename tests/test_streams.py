@@ -46,3 +46,15 @@ def test_gaps_and_illegal_steps(spark):
 def test_sessions(spark, gap, n):
     df = spark.createDataFrame([("u", T0), ("u", T0 + timedelta(minutes=4)), ("u", T0 + timedelta(minutes=20))], "u string, ts timestamp")
     assert E.sessions(df, ["u"], "ts", gap).count() == n
+
+
+def test_long_runs_are_parted_and_give_the_same(spark):
+    import random
+
+    from lodestrata.operators import ingest, quality
+
+    r = random.Random(9)
+    log = spark.createDataFrame([(r.choice(["hot", "hot", "hot", "x"]), n, r.choice(["queued", "planning", "failed"]), float(r.randint(0, 9))) for n in range(1, 150)], "run string, seq int, status string, v double")
+    for f in (lambda k: E.gaps(log, "run", "seq", k), lambda k: E.illegal_steps(log, "run", "seq", "status", None, k), lambda k: E.accepted(log, "run", "seq", "v", k), lambda k: quality.budget(log, "run", "seq", "v", 50, k), lambda k: ingest.value_links(log, ["run"], ["seq"], "status", "seq", k)):
+        whole, parted = (sorted(map(tuple, (lambda d: d.select(*sorted(d.columns)))(f(k)).collect()), key=str) for k in (100_000, 10))
+        assert whole == parted and whole
