@@ -10,12 +10,12 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are
 
 @pytest.mark.parametrize("name", ["p4_found", "p4_pieces", "p7_found", "p7_records", "p8_ids", "p9_found", "p10_found"])
 def test_empty_tables(spark, tmp_path, name):
-    for f in ("documents", "financial_facts", "eval_items", "passage_candidates"):
+    for f in ("documents", "financial_facts", "kpi_payloads", "eval_items", "passage_candidates"):
         spark.read.parquet(f"{DATA}/{f}.parquet").limit(0).write.parquet(f"{tmp_path}/{f}.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["p4_found", "p7_found"])
+@pytest.mark.parametrize("name", ["p4_found", "p7_found", "p7_records"])
 def test_same_rows_as_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
