@@ -72,9 +72,10 @@ def test_every_covered_segment_has_its_narrowest_span(spark):
     assert asked.exceptAll(found).count() == found.exceptAll(asked).count() == 0
 
 
-def test_histories_and_duplicates_use_estimated_units(spark, tmp_path):
+def test_histories_use_estimated_units(spark, tmp_path):
     for name in ("documents", "document_versions"):
         spark.read.parquet(f"{DATA}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.read.parquet(f"{DATA}/kpi_payloads.parquet").limit(0).write.parquet(f"{tmp_path}/kpi_payloads.parquet")
     spark.read.parquet(f"{tmp_path}/documents.parquet").createOrReplaceTempView("estimated_documents")
     spark.read.parquet(f"{tmp_path}/document_versions.parquet").createOrReplaceTempView("estimated_versions")
     dated = spark.sql("SELECT v.id, min(d.published_at) AS p FROM estimated_versions v JOIN estimated_documents d ON v.document_id = d.id GROUP BY 1 ORDER BY p").collect()
@@ -84,4 +85,3 @@ def test_histories_and_duplicates_use_estimated_units(spark, tmp_path):
     facts = [tuple({"id": k, "entity_id": "e", "document_version_id": v, "concept": f"x{i}", "unit": u, "value": n, "scale": 0}.get(f.name) for f in schema) for v, k, i, u, n in said]
     spark.createDataFrame(facts, schema).write.parquet(f"{tmp_path}/financial_facts.parquet")
     assert {r["fact_id"] for r in entry.queries()["p3_found"](spark, str(tmp_path)).collect()} == {f"{c}{i}" for c in "ac" for i in range(1, 9)}
-    assert {r["group_id"] for r in entry.queries()["p7_found"](spark, str(tmp_path)).collect()} == {f"a{i}" for i in range(1, 9)}
