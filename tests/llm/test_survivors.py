@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm.survivors import survivors
@@ -24,3 +25,19 @@ def test_fields_come_from_the_best_record_that_has_them(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_duplicates_use_estimated_units(spark, tmp_path):
+    import os
+
+    from lodestrata.llm import queries
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("test tables are not here")
+    spark.read.parquet(f"{data}/kpi_payloads.parquet").limit(0).write.parquet(f"{tmp_path}/kpi_payloads.parquet")
+    schema = spark.read.parquet(f"{data}/financial_facts.parquet").schema
+    said = [("v1", f"a{i}", i, "USD", str(i * 1000)) for i in range(1, 9)] + [("v1", f"b{i}", i, "zorkmids", str(i)) for i in range(1, 9)] + [("v2", f"c{i}", i, "zorkmids", str(i + 1)) for i in range(1, 9)]
+    facts = [tuple({"id": k, "entity_id": "e", "document_version_id": v, "concept": f"x{i}", "unit": u, "value": n, "scale": 0}.get(f.name) for f in schema) for v, k, i, u, n in said]
+    spark.createDataFrame(facts, schema).write.parquet(f"{tmp_path}/financial_facts.parquet")
+    assert {r["group_id"] for r in queries.queries()["p7_found"](spark, str(tmp_path)).collect()} == {f"a{i}" for i in range(1, 9)}
