@@ -8,6 +8,8 @@ are common units, how each of them converts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from lodestrata.plans.tables import cut, remove
 #: Links by which an estimate outvotes what a label says (as if the label had so many links of its own) and by which it is believed
 #: where the label doesn't read; how far (in powers of ten) it may lie off a known conversion.
 LEAST_LINKS, SNAP = 5, 0.02
+#: Links between labels up to which one task follows them all; the result is the same beyond.
+TASK_LINKS = 200_000
 
 _READ = T.StructType([T.StructField("common_unit", T.StringType()), T.StructField("power", T.IntegerType()), T.StructField("times", T.IntegerType()), T.StructField("over", T.IntegerType()), T.StructField("literal", T.BooleanType())])
 _PARTS = T.StructType([T.StructField(c, T.StringType()) for c in ("raw_number", "raw_label", "col_number", "col_label")])
@@ -81,6 +85,46 @@ def link_estimates(rows: DataFrame, keys: Column, unit: str, value: str, scale:
     return source_links(presented(rows, keys, unit, value, scale), declared)
 
 
+def _passed_on(known: DataFrame, edges: DataFrame) -> DataFrame:
+    """(label, est_unit, est, est_links, hop): estimates passed on from ``known`` labels, level by level, in one task."""
+    names = known.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([b for b in batches if len(b)] or [pd.DataFrame(columns=[*names, "ref", "ratio", "links"])])
+        seen = {r.label: (r.est_unit, r.est, None, 0) for r in rows[rows["ref"].isna()].itertuples()}
+        ways: dict[str, list[tuple[str, float, int]]] = {}
+        for r in rows[rows["ref"].notna()].itertuples():
+            ways.setdefault(r.ref, []).append((r.label, r.ratio, int(r.links)))
+        frontier, hop = seen, 0
+        while frontier:
+            hop, found = hop + 1, {}
+            for ref, (unit, est, weakest, _) in frontier.items():
+                for label, ratio, links in ways.get(ref, ()):
+                    if label not in seen:
+                        way = (links if weakest is None else min(links, weakest), unit, est + ratio)
+                        found[label] = max(found.get(label, way), way)
+            frontier = {k: (unit, est, links, hop) for k, (links, unit, est) in found.items()}
+            seen = seen | frontier
+        yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=names).astype({"est_links": "Int64"})
+
+    both = known.unionByName(edges.withColumn("hop", F.lit(None).cast("int")), allowMissingColumns=True)
+    return both.select(*names, "ref", "ratio", "links").coalesce(1).mapInPandas(run, known.schema)
+
+
+def _passed_on_by_hops(known: DataFrame, edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """The same over all tasks, a join for each level, and the tables written for it."""
+    frontier, seen, hop, parts = known, known, 0, []
+    while not frontier.isEmpty():
+        hop += 1
+        there = frontier.select(F.col("label").alias("ref"), "est_unit", "est", "est_links")
+        onward = edges.join(there, "ref").select("label", "est_unit", (F.col("est") + F.col("ratio")).alias("est"), F.least("links", "est_links").alias("est_links"), F.lit(hop).alias("hop"))
+        best = onward.groupBy("label").agg(F.max_by(F.struct("est_unit", "est", "est_links", "hop"), F.struct("est_links", "est_unit", "est")).alias("b")).select("label", "b.*")
+        frontier = cut(best.join(seen.select("label"), "label", "left_anti"))
+        seen = seen.unionByName(frontier)
+        parts.append(frontier)
+    return seen, parts
+
+
 def conversions(declared: DataFrame, estimates: DataFrame, least_links: int = LEAST_LINKS) -> DataFrame:
     """(label, common_unit, power, times, over, how, estimate, links): how each label converts.
 
@@ -94,15 +138,11 @@ def conversions(declared: DataFrame, estimates: DataFrame, least_links: int = LE
     sure = estimates.where((F.col("spread") <= SNAP) & (F.abs(F.coalesce("offset", F.lit(0.0))) < 0.5)).select("label", "ref", "ratio", "links")
     edges = cut(sure.unionByName(sure.select(F.col("ref").alias("label"), F.col("label").alias("ref"), (-F.col("ratio")).alias("ratio"), "links")))
     known = declared.where("literal").select("label", F.col("common_unit").alias("est_unit"), F.lit(0.0).alias("est"), F.lit(None).cast("bigint").alias("est_links"), F.lit(0).alias("hop"))
-    frontier, seen, hop, parts = known, known, 0, [edges]
-    while not frontier.isEmpty():
-        hop += 1
-        there = frontier.select(F.col("label").alias("ref"), "est_unit", "est", "est_links")
-        onward = edges.join(there, "ref").select("label", "est_unit", (F.col("est") + F.col("ratio")).alias("est"), F.least("links", "est_links").alias("est_links"), F.lit(hop).alias("hop"))
-        best = onward.groupBy("label").agg(F.max_by(F.struct("est_unit", "est", "est_links", "hop"), F.struct("est_links", "est_unit")).alias("b")).select("label", "b.*")
-        frontier = cut(best.join(seen.select("label"), "label", "left_anti"))
-        seen = seen.unionByName(frontier)
-        parts.append(frontier)
+    if edges.count() <= TASK_LINKS:
+        seen, parts = _passed_on(known, edges), [edges]
+    else:
+        seen, parts = _passed_on_by_hops(known, edges)
+        parts.append(edges)
     joined = declared.join(seen.where("hop > 0"), "label", "left")
     says = F.col("power") + F.log10(F.col("times") / F.col("over"))
     way = lambda p, t, o: F.struct(F.lit(p).cast("int").alias("power"), F.lit(t).alias("times"), F.lit(o).alias("over"))

@@ -47,7 +47,11 @@ def test_shift_matches_decimal(spark):
     assert got == want
 
 
-def test_unknown_unit_is_found_by_its_links(spark):
+@pytest.mark.parametrize("task_links", [200_000, 0])
+def test_unknown_unit_is_found_by_its_links(spark, monkeypatch, task_links):
+    from lodestrata.operators import units
+
+    monkeypatch.setattr(units, "TASK_LINKS", task_links)
     rows = [(f"k{i}", u, str(v), s) for i in range(1, 40) for u, v, s in (("USD", i * 1000 + 7, 0), ("zorkmids", i + 0.007, 0), ("kUSD", i + 0.007, 0), ("twice removed", (i + 0.007) / 1000, 0))]
     rows += [(f"m{i}", u, str(v), 0) for i in range(1, 9) for u, v in (("zorkmids", i), ("far", i * 100))] + [("n", None, "1", 0), ("n", "USD", None, 0), ("n", "USD", "0", None)]
     df = spark.createDataFrame(rows + rows[:4], "k string, unit string, value string, scale int")
@@ -139,7 +143,11 @@ def test_links_outvote_a_label_that_says_otherwise(spark):
     assert (row["how"], row["power"]) == ("declared", 6)
 
 
-def test_a_chain_of_ten_labels_converts(spark):
+@pytest.mark.parametrize("task_links", [200_000, 0])
+def test_a_chain_of_ten_labels_converts(spark, monkeypatch, task_links):
+    from lodestrata.operators import units
+
+    monkeypatch.setattr(units, "TASK_LINKS", task_links)
     names = ["USD", *(f"label {chr(97 + i)}x" for i in range(10))]
     rows = [(f"{j}:{i}", u, str((i + 0.5) * 10 ** (12 - j - d)), 0) for j in range(10) for i in range(11) for d, u in ((0, names[j]), (1, names[j + 1]))]
     df = spark.createDataFrame(rows, "k string, unit string, value string, scale int")
