@@ -90,3 +90,13 @@ def test_stores(spark, tmp_path):
     assert m.read().count() == 2
     with pytest.raises(RuntimeError):
         m.publish(m.write(df, {"corpus": "2"}), None)
+
+
+@pytest.mark.parametrize("junk", ["<![ yq^c@]: !", "<![", "<![]", "<![*xs|j; hcnm", "<![İf x", "<![cdatum[ x", "<![if", "<![CDATA[ x"])
+def test_html_junk_that_begins_like_a_marked_section(spark, junk):
+    table = "<table><tr><td>a</td><td>b</td></tr></table>"
+    r = parse(f"one {junk} > two {table} three {junk}")
+    assert [t[4] for t in r["tables"]] == [[["a", "b"]]]
+    assert r["text"].startswith("one") and r["text"].endswith(f"two\na b\nthree {junk}")
+    docs = spark.createDataFrame([(1, f"{table} {junk}"), (2, table)], "doc_id long, html string")
+    assert sorted(x["doc_id"] for x in table_rows(parse_documents(docs, "doc_id", "html"), "doc_id").collect()) == [1, 2]
