@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.ids import accession_key
+from lodestrata.plans.tables import cut
+
+#: Bytes of quotes that are broadcast at once.
+BLOCK_BYTES = 8 << 20
 
 
 def resolve_quotes(quotes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -28,20 +32,28 @@ def quote_scopes(quotes: DataFrame, spans: DataFrame) -> DataFrame:
 
     What stands between two blanks of a quote must stand between blanks in the text. So texts
     are first asked for one such part of each quote, the one in fewest texts of the corpus; the whole
-    quote is then compared there. Quotes without such a part are compared with every text.
+    quote is then compared there. Quotes without such a part are compared with every text, in blocks of BLOCK_BYTES.
+
+    Spark takes texts for a fraction of their size in memory, as files are compressed and columns are weighed by their
+    types. So texts, their parts and quotes stand where they can't be broadcast: left of semi-joins, in merge joins or
+    beside a block. What may be broadcast is written first.
     """
-    parts = lambda text: F.array_distinct(F.split(text, " ", -1))
-    asked = quotes.where(F.length("quote") > 0).select("quote_id", "quote").distinct()
+    asked = cut(quotes.where(F.length("quote") > 0).select("quote_id", "quote").distinct().withColumn("ask", F.monotonically_increasing_id()))
     inner = F.split("quote", " ", -1)
-    inner = asked.select("quote_id", F.explode(F.array_distinct(F.filter(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))), lambda x: x != ""))).alias("part"))
-    held = spans.select("span_id", F.explode(parts(F.col("text"))).alias("part"))
-    counted = held.join(inner.select("part").distinct(), "part").groupBy("part").agg(F.count("*").alias("__n"))
-    rarest = inner.join(counted, "part", "left").groupBy("quote_id").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "part"))["part"].alias("part"))
-    rare = held.join(rarest, "part").select("span_id", "quote_id").distinct().join(asked, "quote_id")
+    inner = asked.select("ask", F.explode(F.array_distinct(F.filter(F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0))), lambda x: x != ""))).alias("part"))
+    held = spans.select("span_id", F.explode(F.array_distinct(F.split("text", " ", -1))).alias("part"))
+    having = lambda rows, c, some: rows.join(cut(some.select(c).distinct()), c, "left_semi")
+    counted = cut(having(held, "part", inner).groupBy("part").agg(F.count("*").alias("__n")))
+    rarest = cut(inner.join(counted, "part", "left").groupBy("ask").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), "part"))["part"].alias("part")))
+    found = cut(having(held, "part", rarest).distinct())
+    rare = found.join(rarest, "part").select("span_id", "ask").join(asked.hint("merge"), "ask")
     whole = F.col("text").contains(F.col("quote"))
-    hits = spans.join(rare, "span_id").where(whole).select("quote_id", "accession", "span_id")
-    rest = asked.join(rarest, "quote_id", "left_anti")
-    hits = hits.unionByName(spans.join(rest, whole).select("quote_id", "accession", "span_id"))
+    hits = having(spans, "span_id", found).hint("merge").join(rare, "span_id").where(whole).select("quote_id", "accession", "span_id")
+    rest = cut(asked.join(rarest, "ask", "left_anti"))
+    blocks = -(-(rest.agg(F.sum(F.octet_length("quote"))).first()[0] or 0) // BLOCK_BYTES)
+    for k in range(blocks):  # one after another, so that the driver holds one
+        block = rest.where(F.pmod(F.xxhash64("ask"), F.lit(blocks)) == k)
+        hits = hits.unionByName(cut(spans.join(F.broadcast(block), whole).select("quote_id", "accession", "span_id")))
     scopes = hits.groupBy("quote_id", "accession").agg(F.countDistinct("span_id").alias("n"), F.min("span_id").alias("span_id"))
     out = quotes.select("quote_id").distinct().join(scopes, "quote_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     code = F.when(F.col("n") == 0, "UNRESOLVED_QUOTE").when(F.col("n") > 1, "AMBIGUOUS_QUOTE")

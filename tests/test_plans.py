@@ -126,3 +126,25 @@ def test_whole_quotes_in_the_texts_of_accessions(spark):
     want = {("1", "a", 1, 1, None), ("1", "b", 2, None, "AMBIGUOUS_QUOTE"), ("2", "b", 1, 3, None), ("2", None, 1, 5, None), ("3", None, 0, None, "UNRESOLVED_QUOTE"), ("4", None, 0, None, "UNRESOLVED_QUOTE")}
     got = [tuple(x) for x in B.quote_scopes(q, s).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_texts_that_files_make_small_are_not_broadcast(spark, tmp_path):
+    quote = "the pilot plant was stopped"
+    texts = spark.range(1500).select(F.concat(F.lit("a"), F.col("id") % 9).alias("accession"), F.col("id").alias("span_id"), F.concat(F.repeat(F.lit("filler "), F.lit(9000)), F.when(F.col("id") % 500 == 7, quote).otherwise("none")).alias("text"))
+    texts.write.parquet(f"{tmp_path}/texts")
+    q = spark.createDataFrame([("1", quote), ("2", "was not there at all")], "quote_id string, quote string")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", 80 << 20)
+    try:
+        got = B.quote_scopes(q, spark.read.parquet(f"{tmp_path}/texts")).collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    assert sorted(map(tuple, got), key=str) == [("1", "a3", 1, 507, None), ("1", "a7", 1, 7, None), ("1", "a8", 1, 1007, None), ("2", None, 0, None, "UNRESOLVED_QUOTE")]
+
+
+def test_each_text_of_a_quote_is_looked_for_in_blocks_or_by_parts(spark, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_BYTES", 4)
+    q = spark.createDataFrame([("1", "we sold more"), ("1", "it had fewer"), ("2", "id it"), ("2", "old"), ("3", "absent"), (None, "sold")], "quote_id string, quote string")
+    texts = [("x", "s1", "we sold more of it"), ("x", "s2", "it had fewer"), ("x", "s3", "so it had fewer"), ("y", "s4", "we did it"), ("z", "s5", "all old")]
+    s = spark.createDataFrame([*texts, (None, "s6", None)], "accession string, span_id string, text string")
+    got = {tuple(r) for r in B.quote_scopes(q, s).collect()}
+    assert got == {("1", "x", 3, None, "AMBIGUOUS_QUOTE"), ("2", "x", 1, "s1", None), ("2", "y", 1, "s4", None), ("2", "z", 1, "s5", None), ("3", None, 0, None, "UNRESOLVED_QUOTE"), (None, None, 0, None, "UNRESOLVED_QUOTE")}
